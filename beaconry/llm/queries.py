@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import byte_bpe, components, cooccurrence, leakage
+from . import byte_bpe, canonical, components, cooccurrence, leakage, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.assign(read_table(spark, d, "text_marks"), read_table(spark, d, "reports"), read_table(spark, d, "mark_catalogue"))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that no entry of the reference list means, and how often each was typed."""
+    missing = p2_found(spark, d).filter(F.col("ref_id") == canonical.UNMATCHED).select("mark_id")
+    marks = read_table(spark, d, "text_marks").select("mark_id", "label")
+    return marks.join(missing, "mark_id", "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     baskets = cooccurrence.occurrences(read_table(spark, d, "facets"), read_table(spark, d, "chain_steps"))
     return cooccurrence.together(baskets).select(F.col("item_a").alias("facet_a"), F.col("item_b").alias("facet_b"))
@@ -36,6 +47,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    shapes = quality.shapes(read_table(spark, d, "documents"))
+    return shapes.filter(F.col("shape") != "prose").select("doc_id", "shape")
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of every document, by name."""
+    measured = quality.statistics(read_table(spark, d, "documents"))
+    return measured.select("doc_id", *[F.round(F.get("f", F.lit(i)).cast("double"), 4).alias(name) for i, name in enumerate(quality.FIGURES)])
+
+
 BASKETS_SQL = """WITH o AS (SELECT DISTINCT r, i FROM (
   SELECT unnest(files) AS r, facet_id AS i FROM facets UNION ALL SELECT file, unnest(facets) FROM chain_steps)
   WHERE r IS NOT NULL AND i IS NOT NULL),
@@ -48,11 +70,15 @@ PAIRS_SQL = " FROM p JOIN c ca ON ca.i = p.a JOIN c cb ON cb.i = p.b, tot WHERE
 
 def queries() -> dict[str, Query]:
     return {
+        "p2_found": p2_found,
+        "p2_unmatched": p2_unmatched,
         "p3_found": p3_found,
         "p3_lift": p3_lift,
         "p5_found": p5_found,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
+        "p9_found": p9_found,
+        "p9_statistics": p9_statistics,
     }
 
 
