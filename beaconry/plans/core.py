@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import grid, text
+from ..functions import vocabulary as V
 from ..functions.instants import SQL_EPOCH
-from ..operators import cells, delivery, late_events
+from ..operators import actors, cells, craft, delivery, feeds, identifiers, late_events, marks, places, suspects, suspicion, vehicles
 from ..session import read_table
+from . import checking
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +42,251 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return cells.within(read_table(spark, d, "reports"), read_table(spark, d, "predefined_places")).select("file", "seq")
 
 
+# --- the pipeline over a data folder -----------------------------------------
+
+
+def reports_of(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "reports")
+
+
+def places_of(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "predefined_places")
+
+
+def scored_of(spark: SparkSession, d: str) -> DataFrame:
+    return suspicion.score(reports_of(spark, d), places_of(spark, d))
+
+
+def elevated_of(spark: SparkSession, d: str) -> DataFrame:
+    return suspicion.elevated(scored_of(spark, d))
+
+
+def vehicles_of(spark: SparkSession, d: str) -> DataFrame:
+    return vehicles.entities(vehicles.observations(reports_of(spark, d)))
+
+
+def suspects_of(spark: SparkSession, d: str) -> DataFrame:
+    return suspects.suspects(suspects.sightings(reports_of(spark, d), elevated_of(spark, d)))
+
+
+def claims_of(spark: SparkSession, d: str) -> DataFrame:
+    return places.claims(reports_of(spark, d), elevated_of(spark, d), places_of(spark, d))
+
+
+def facets_of(spark: SparkSession, d: str) -> DataFrame:
+    reports = reports_of(spark, d)
+    return actors.facets(vehicles.observations(reports), marks.members(marks.marks(reports)))
+
+
+def actors_of(spark: SparkSession, d: str, threshold: int = 1) -> DataFrame:
+    sighted = facets_of(spark, d)
+    return actors.actors(sighted, actors.edges(sighted, threshold))
+
+
+def alerts_of(spark: SparkSession, d: str) -> DataFrame:
+    reports = reports_of(spark, d)
+    return feeds.alerts(elevated_of(spark, d), actors_of(spark, d), marks.nominations(marks.marks(reports)), vehicles_of(spark, d))
+
+
+# --- queries ------------------------------------------------------------------
+
+def _keys() -> Column:
+    """The keys of a row's reasons, in their order."""
+    return F.array_join(F.transform("reasons", lambda r: r["key"]), ",").alias("keys")
+
+
+def q_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    return identifiers.identifiers(reports_of(spark, d)).select("file", "type", "value", "partial")
+
+
+def q_plates(spark: SparkSession, d: str) -> DataFrame:
+    return identifiers.plates(reports_of(spark, d)).select("file", "plate", "partial")
+
+
+def q_plate_entities(spark: SparkSession, d: str) -> DataFrame:
+    return vehicles_of(spark, d).select("canonical", "kind", "count", "first_seen", "last_seen", F.array_join("observers", ",").alias("observers"))
+
+
+def q_plate_partials(spark: SparkSession, d: str) -> DataFrame:
+    matched = vehicles.partial_matches(identifiers.plates(reports_of(spark, d)))
+    return matched.select("partial", "n", F.when(F.col("n") == 1, "merged").when(F.col("n") > 1, "ambiguous").otherwise("unresolved").alias("state"))
+
+
+def q_craft(spark: SparkSession, d: str) -> DataFrame:
+    return craft.craft(reports_of(spark, d)).select("file", "type", "medium", "plated", "threat", "plate")
+
+
+def q_score(spark: SparkSession, d: str) -> DataFrame:
+    return scored_of(spark, d).select("file", "score", _keys())
+
+
+def q_elevated(spark: SparkSession, d: str) -> DataFrame:
+    """Which reports are elevated, and why, the heaviest first."""
+    rows = elevated_of(spark, d).select("file", "tnr", "tidpunkt", "score", text.level(F.col("score")).alias("level"), _keys())
+    return rows.orderBy(F.col("score").desc(), "tidpunkt", "tnr")
+
+
+def q_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Elevated reports with the reasons as people read them."""
+    return elevated_of(spark, d).select("file", F.array_join(text.reason_phrases(F.col("reasons")), ", ").alias("phrases"))
+
+
+def q_bands(spark: SparkSession, d: str) -> DataFrame:
+    return scored_of(spark, d).groupBy(text.level(F.col("score")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return suspicion.rollup(scored_of(spark, d))
+
+
+def q_proximity(spark: SparkSession, d: str) -> DataFrame:
+    return suspicion.proximity(reports_of(spark, d), places_of(spark, d)).select("file", "near.key", "near.weight")
+
+
+def q_marks(spark: SparkSession, d: str) -> DataFrame:
+    found = marks.marks(reports_of(spark, d))
+    return found.select("file", "object", "signature", "distinctive", F.size("clauses").cast("long").alias("clauses"))
+
+
+def q_nominations(spark: SparkSession, d: str) -> DataFrame:
+    return marks.nominations(marks.marks(reports_of(spark, d))).select("signature", "object", "count", "first_seen", "last_seen")
+
+
+def q_mark_labels(spark: SparkSession, d: str) -> DataFrame:
+    return marks.nominations(marks.marks(reports_of(spark, d))).select("signature", "label", F.array_join("observers", ",").alias("observers"))
+
+
+def q_suspects(spark: SparkSession, d: str) -> DataFrame:
+    return suspects_of(spark, d).select("agent", "kind", "n", "top", "level", "first_seen", "last_seen")
+
+
+def q_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return suspects.hypotheses(suspects_of(spark, d)).select("facet", "vehicles", "marks", "n")
+
+
+def q_nearest_place(spark: SparkSession, d: str) -> DataFrame:
+    near = places.nearest_place(reports_of(spark, d), places_of(spark, d))
+    return near.select("file", "seq", text.half_up(F.col("distance_m")).cast("long").alias("metres"))
+
+
+def q_locations(spark: SparkSession, d: str) -> DataFrame:
+    return places.locations(claims_of(spark, d), places_of(spark, d)).select("place", "reports", "elevated", "plates", "predefined")
+
+
+def q_vehicle_recurrence(spark: SparkSession, d: str) -> DataFrame:
+    return places.vehicle_recurrence(claims_of(spark, d))
+
+
+def q_facet_edges(spark: SparkSession, d: str) -> DataFrame:
+    return actors.edges(facets_of(spark, d))
+
+
+def q_actors(spark: SparkSession, d: str) -> DataFrame:
+    return actors_of(spark, d).select("root", "facets", "vehicles", "marks", F.array_join("types", ",").alias("types"))
+
+
+def q_actors_2(spark: SparkSession, d: str) -> DataFrame:
+    return actors_of(spark, d, 2).select("root", "facets", "vehicles", "marks", F.array_join("types", ",").alias("types"))
+
+
+def q_actor_chains(spark: SparkSession, d: str) -> DataFrame:
+    sighted = facets_of(spark, d)
+    tied = actors.edges(sighted)
+    chain = actors.chains(actors.actors(sighted, tied), sighted, tied, reports_of(spark, d))
+    return actors.spans(chain).join(actors.actors(sighted, tied).select(F.col("id").alias("actor"), "root"), "actor").select("root", "messages", "first_seen", "last_seen")
+
+
+def q_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return alerts_of(spark, d).select("kind", F.when(F.col("kind") == "aktör", "").otherwise(F.col("key")).alias("key"), "rank")
+
+
+def q_alerts_new(spark: SparkSession, d: str) -> DataFrame:
+    """What is new against a seen-set: here the alerts of all reports but the last batch's."""
+    reports = reports_of(spark, d)
+    last = F.broadcast(reports.agg(F.max("batch_no").alias("last_batch")))
+    before = suspicion.elevated(suspicion.score(reports.join(last).filter("batch_no < last_batch").drop("last_batch"), places_of(spark, d)))
+    seen = before.select(F.concat(F.lit("förhöjd:"), "file").alias("key"))
+    now = elevated_of(spark, d).select(F.concat(F.lit("förhöjd:"), "file").alias("key"), (F.col("score") + 100).cast("long").alias("rank"))
+    return feeds.unseen(now, seen)
+
+
+def q_feed(spark: SparkSession, d: str) -> DataFrame:
+    items = feeds.report_items(reports_of(spark, d), elevated_of(spark, d))
+    return feeds.feed(items.withColumn("seq", -F.crc32("path"))).select("path", "kind", "time")
+
+
+def q_watch(spark: SparkSession, d: str) -> DataFrame:
+    """Vehicles seen three times or more, watched since their second sighting, and one never seen."""
+    known = vehicles_of(spark, d)
+    states = known.select(F.lit("fordon").alias("kind"), F.col("canonical").alias("ref"), "count", "last_seen")
+    watched = known.filter("count >= 3").select(F.lit("fordon").alias("kind"), F.col("canonical").alias("ref"), F.lit(2).alias("baseline"))
+    never = spark.range(1).select(F.lit("fordon").alias("kind"), F.lit("ZZZ00Z").alias("ref"), F.lit(-1).alias("baseline"))
+    return feeds.watch(watched.unionByName(never), states)
+
+
+def q_mojibake(spark: SparkSession, d: str) -> DataFrame:
+    reports = reports_of(spark, d)
+    return reports.filter(F.col("plats").contains("Ã") | F.col("handelse").contains("Ã")).select("file", text.repaired(F.col("plats")).alias("plats"), text.repaired(F.col("handelse")).alias("handelse"))
+
+
+def q_grid_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of reports from the grid in their place, where they have none of their own."""
+    at = grid.first_position(F.coalesce("stalle", F.lit("")))
+    found = reports_of(spark, d).filter(F.col("lat").isNull() | F.col("lon").isNull()).select("file", F.coalesce(at, grid.first_position(F.coalesce("plats", F.lit("")))).alias("at"))
+    return found.filter(F.col("at").isNotNull()).select("file", "at.lat", "at.lon")
+
+
+def q_text_mark_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of one key in two reports or more; the longest wording names them."""
+    rows = read_table(spark, d, "text_marks").filter(F.col("label").isNotNull()).select("file", "mark_id", "label", text.mark_key(F.col("label")).alias("key")).filter(F.col("key") != "")
+    first = rows.groupBy("key", "file").agg(F.min_by("label", "mark_id").alias("label"), F.min("mark_id").alias("mark_id"))
+    grouped = first.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.max_by("label", F.struct(F.length("label"), -F.col("mark_id"))).alias("label"))
+    return grouped.filter("count >= 2")
+
+
+def q_link_kinds(spark: SparkSession, d: str) -> DataFrame:
+    links = reports_of(spark, d).select("file", F.posexplode("links").alias("pos", "l"))
+    return links.select("file", "pos", text.link_kind(F.col("l.raw")).alias("kind"))
+
+
+def q_night_window(spark: SparkSession, d: str) -> DataFrame:
+    """Reports between 22:00 and 05:00, both ends included."""
+    minute = text.minute_of_day(F.col("tidpunkt"))
+    return reports_of(spark, d).select("file", minute.alias("minute")).filter(text.in_window(F.col("minute"), 22 * 60, 5 * 60))
+
+
+def q_observer(spark: SparkSession, d: str) -> DataFrame:
+    return reports_of(spark, d).filter(F.upper("sagesman").contains("AQ")).select("file", "sagesman")
+
+
+def q_search(spark: SparkSession, d: str) -> DataFrame:
+    """Reports that mention a word in event, symbol, place or link."""
+    term = "skåpbil"
+    has = lambda c: F.coalesce(F.lower(c).contains(term), F.lit(False))
+    linked = F.coalesce(F.exists("links", lambda x: F.lower(x["raw"]).contains(term)), F.lit(False))
+    return reports_of(spark, d).filter(has("handelse") | has("symbol") | has("plats") | linked).select("file")
+
+
+def q_attachments(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of reports, from attachments and embeds."""
+    none = F.array().cast("array<string>")
+    both = F.array_distinct(F.concat(F.coalesce("bilagor", none), F.coalesce("embeds", none)))
+    return reports_of(spark, d).select("file", F.explode(F.filter(both, lambda x: x.rlike(r"(?i)\.(jpe?g|png|webp)$"))).alias("image"))
+
+
+def q_quiet(spark: SparkSession, d: str) -> DataFrame:
+    """Reports that are not elevated."""
+    return reports_of(spark, d).select("file").join(elevated_of(spark, d).select("file"), "file", "left_anti")
+
+
+def q_demo_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """When each report of a day is replayed: its own time at 60 times the speed, never closer than 2 s."""
+    from ..streaming.replay import schedule
+
+    day = reports_of(spark, d).filter(F.substring("tnr", 1, 2) == "06").select("file", "tnr")
+    return schedule(day, 60.0, 2.0)
+
+
 _TIMES = f"SELECT file, {SQL_EPOCH.format(c='tidpunkt')} AS e, {SQL_EPOCH.format(c='signal_tidpunkt')} AS s FROM reports"
 _CELLS = f"""WITH t AS ({_TIMES}),
 c AS (SELECT file, strftime(TIMESTAMP '1970-01-01' + to_seconds(e), '%Y-%m-%dT%H') AS period,
@@ -65,17 +313,123 @@ def queries() -> dict[str, Query]:
         "p4_found": p4_found,
         "p4_new_messages": p4_new_messages,
         "p6_found": p6_found,
+        "identifiers": q_identifiers,
+        "plates_only": q_plates,
+        "plate_entities": q_plate_entities,
+        "plate_partials": q_plate_partials,
+        "craft_obs": q_craft,
+        "score_all": q_score,
+        "score_elevated": q_elevated,
+        "reason_phrases": q_reasons,
+        "level_bands": q_bands,
+        "score_rollup": q_rollup,
+        "proximity_band": q_proximity,
+        "marks_all": q_marks,
+        "mark_nominations": q_nominations,
+        "mark_labels": q_mark_labels,
+        "suspects": q_suspects,
+        "actor_candidates": q_candidates,
+        "vicinity_nearest": q_nearest_place,
+        "locations": q_locations,
+        "recurrence_vehicle": q_vehicle_recurrence,
+        "facet_edges": q_facet_edges,
+        "actor_components": q_actors,
+        "actor_threshold2": q_actors_2,
+        "actor_chains": q_actor_chains,
+        "alerts_all": q_alerts,
+        "alerts_new": q_alerts_new,
+        "feed_top60": q_feed,
+        "watch_status": q_watch,
+        "mojibake": q_mojibake,
+        "grid_positions": q_grid_positions,
+        "text_mark_clusters": q_text_mark_clusters,
+        "link_kinds": q_link_kinds,
+        "q_time_window": q_night_window,
+        "q_observer": q_observer,
+        "q_search": q_search,
+        "attachments": q_attachments,
+        "quiet_reports": q_quiet,
+        "demo_schedule": q_demo_schedule,
     }
 
 
+_BAND = "CASE WHEN score >= 9 THEN 'Hög' WHEN score >= 6 THEN 'Förhöjd' WHEN score >= 5 THEN 'Att bevaka' ELSE '' END"
+_REACH = """reach AS (SELECT a AS u, a AS v FROM tied WHERE weight >= {n} UNION SELECT b, b FROM tied WHERE weight >= {n}
+  UNION SELECT r.u, e.b FROM reach r JOIN (SELECT a, b FROM tied WHERE weight >= {n} UNION ALL SELECT b, a FROM tied WHERE weight >= {n}) e ON e.a = r.v)"""
+_ACTORS = """SELECT root, count(*) AS facets, count(*) FILTER (WHERE type = 'fordon') AS vehicles, count(*) FILTER (WHERE type <> 'fordon') AS marks, string_agg(DISTINCT type, ',' ORDER BY type) AS types
+FROM (SELECT u AS facet, min(v) AS root FROM reach GROUP BY u) JOIN (SELECT DISTINCT facet, type FROM facet) USING (facet) GROUP BY root HAVING count(DISTINCT type) >= 2"""
+
+
 def oracle_sql() -> dict[str, str]:
+    sql = checking.sql
+    mended = lambda c: "".join("replace(" for _ in _MISREAD) + c + "".join(f", '{m}', '{r}')" for m, r in _MISREAD)
+    guard = lambda c: f"CASE WHEN contains({c}, 'Ã') OR contains({c}, 'Â') THEN {mended(c)} ELSE {c} END"
     return {
         "p1_found": _CELLS + "SELECT period, file FROM c WHERE cell >= 1 AND cell < 192",
         "p1_triangle": _CELLS
         + """SELECT period, cell, count(*) AS arrived, CAST(sum(count(*)) OVER (PARTITION BY period ORDER BY cell) AS BIGINT) AS total
 FROM c WHERE cell < 192 GROUP BY period, cell""",
         "p4_found": _MESSAGES + "SELECT file FROM r WHERE message IS NOT NULL AND n > 1",
-        "p6_found": """SELECT r.file, p.seq FROM reports r JOIN predefined_places p ON
-2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - r.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(r.lat)) * pow(sin(radians(p.lon - r.lon) / 2), 2)))) <= p.radius_m
-WHERE r.lat BETWEEN -90 AND 90 AND r.lon BETWEEN -180 AND 180 AND p.lat BETWEEN -90 AND 90 AND p.lon BETWEEN -180 AND 180""",
+        "p6_found": f"""SELECT r.file, p.seq FROM (SELECT file, lat, lon FROM reports WHERE {checking.VALID}) r
+JOIN (SELECT * FROM predefined_places WHERE {checking.VALID}) p ON {checking.distance("r", "p")} <= p.radius_m""",
+        "identifiers": sql("SELECT file, type, value, partial FROM ids", "ids"),
+        "plates_only": sql("SELECT file, plate, partial FROM plates", "plates"),
+        "plate_entities": sql("SELECT * FROM ents", "ents"),
+        "plate_partials": sql("SELECT partial, n, CASE WHEN n = 1 THEN 'merged' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state FROM fits", "fits"),
+        "craft_obs": sql(
+            """SELECT c.file, type, medium, plated, threat, CASE WHEN plated AND k = 1 THEN p END AS plate FROM crafts c
+LEFT JOIN (SELECT file, count(DISTINCT plate) AS k, min(plate) AS p FROM plates WHERE NOT partial GROUP BY file) w ON w.file = c.file""", "crafts", "plates"),
+        "score_all": sql("SELECT file, score, keys FROM scores", "scores"),
+        "score_elevated": sql(f"SELECT file, tnr, tidpunkt, score, {_BAND} AS level, keys FROM elevated", "elevated"),
+        "level_bands": sql(f"SELECT {_BAND} AS level, count(*) AS n FROM scores GROUP BY 1", "scores"),
+        "score_rollup": sql("SELECT count(*) AS reports, count(*) FILTER (WHERE score >= 5) AS elevated, count(*) FILTER (WHERE keys LIKE 'proximity%' OR keys LIKE 'känslig-plats%') AS near FROM scores", "scores"),
+        "proximity_band": sql("SELECT file, CASE WHEN seq = -1 THEN 'proximity' ELSE 'känslig-plats' END AS key, weight FROM near", "near"),
+        "marks_all": sql("SELECT file, object, signature, distinctive, clauses FROM marks", "marks"),
+        "mark_nominations": sql(
+            """SELECT signature, min(object) AS object, count(*) AS count, coalesce(min(nullif(tidpunkt, '')), '') AS first_seen, coalesce(max(nullif(tidpunkt, '')), '') AS last_seen
+FROM members GROUP BY signature""", "members"),
+        "suspects": sql(
+            f"SELECT agent, kind, n, top, coalesce(nullif({_BAND.replace('score', 'top')}, ''), 'Att bevaka') AS level, first_seen, last_seen FROM suspects", "suspects"),
+        "actor_candidates": sql(
+            "SELECT agent AS facet, CAST(kind = 'fordon' AS INT) AS vehicles, CAST(kind <> 'fordon' AS INT) AS marks, n FROM suspects WHERE n > 1 OR behaving", "suspects"),
+        "vicinity_nearest": sql("SELECT file, seq, CAST(floor(d + 0.5) AS BIGINT) AS metres FROM covering", "covering"),
+        "locations": sql(
+            """SELECT coalesce(c.place, p.name) AS place, coalesce(n, 0) AS reports, coalesce(e, 0) AS elevated, coalesce(k, 0) AS plates, p.name IS NOT NULL AS predefined
+FROM (SELECT place, count(*) AS n, count(*) FILTER (WHERE elevated) AS e, len(list_distinct(flatten(list(plates)))) AS k FROM claims GROUP BY place) c FULL JOIN predefined_places p ON p.name = c.place""", "claims"),
+        "recurrence_vehicle": sql("SELECT place, plate, count(*) AS n FROM (SELECT place, unnest(plates) AS plate FROM claims) GROUP BY place, plate HAVING count(*) >= 2", "claims"),
+        "facet_edges": sql("SELECT a, b, weight FROM tied", "tied"),
+        "actor_components": sql(_ACTORS, "facet", "tied", recursive=_REACH.format(n=1)),
+        "actor_threshold2": sql(_ACTORS, "facet", "tied", recursive=_REACH.format(n=2)),
+        "alerts_all": sql(
+            f"""SELECT 'förhöjd' AS kind, 'förhöjd:' || file AS key, CAST(100 + score AS BIGINT) AS rank FROM elevated
+UNION ALL SELECT 'aktör', '', 80 + facets FROM ({_ACTORS})
+UNION ALL SELECT 'märke', 'märke:' || signature, 60 + count(*) FROM members GROUP BY signature
+UNION ALL SELECT 'fordon', 'fordon:' || canonical, 40 + count FROM ents WHERE count > 1""", "elevated", "facet", "tied", "members", "ents", recursive=_REACH.format(n=1)),
+        "alerts_new": sql(
+            "SELECT 'förhöjd:' || file AS key, CAST(100 + score AS BIGINT) AS rank FROM elevated JOIN reports USING (file) WHERE batch_no = (SELECT max(batch_no) FROM reports)", "elevated"),
+        "watch_status": sql(
+            """SELECT 'fordon' AS kind, canonical AS ref, count, last_seen, count - 2 AS fresh FROM ents WHERE count >= 3
+UNION ALL SELECT 'fordon', 'ZZZ00Z', coalesce((SELECT count FROM ents WHERE canonical = 'ZZZ00Z'), 0), coalesce((SELECT last_seen FROM ents WHERE canonical = 'ZZZ00Z'), ''), 0""", "ents"),
+        "mojibake": f"SELECT file, {guard('plats')} AS plats, {guard('handelse')} AS handelse FROM reports WHERE contains(plats, 'Ã') OR contains(handelse, 'Ã')",
+        "text_mark_clusters": r"""WITH w AS (SELECT file, mark_id, label, array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(label), '[.,;:!?()"'']', ' ', 'g'), '\s+'),
+  lambda x: x <> '' AND x NOT IN ('en', 'ett', 'den', 'det', 'med', 'och', 'i', 'på', 'av'))), ' ') AS key FROM text_marks WHERE label IS NOT NULL),
+f AS (SELECT key, file, arg_min(label, mark_id) AS label, min(mark_id) AS mark_id FROM w WHERE key <> '' GROUP BY key, file)
+SELECT key, count(*) AS count, arg_max(label, (length(label), -mark_id)) AS label FROM f GROUP BY key HAVING count(*) >= 2""",
+        "link_kinds": f"""SELECT file, CAST(pos - 1 AS INT) AS pos, CASE WHEN NOT regexp_full_match(t, '{V.PLATE_LINK}') THEN 'mark' WHEN contains(t, '.') THEN 'plate-partial' ELSE 'plate-full' END AS kind
+FROM (SELECT file, pos, trim(split_part(l.raw, '|', 1)) AS t FROM (SELECT file, unnest(links) AS l, generate_subscripts(links, 1) AS pos FROM reports))""",
+        "q_time_window": r"""SELECT * FROM (SELECT file, try_cast(nullif(regexp_extract(tidpunkt, 'T(\d{2}):(\d{2})', 1), '') AS INT) * 60 + try_cast(nullif(regexp_extract(tidpunkt, 'T(\d{2}):(\d{2})', 2), '') AS INT) AS minute FROM reports)
+WHERE minute >= 1320 OR minute <= 300""",
+        "q_observer": "SELECT file, sagesman FROM reports WHERE contains(upper(sagesman), 'AQ')",
+        "q_search": """SELECT file FROM reports WHERE coalesce(contains(lower(handelse), 'skåpbil'), false) OR coalesce(contains(lower(symbol), 'skåpbil'), false) OR coalesce(contains(lower(plats), 'skåpbil'), false)
+OR len(list_filter(links, lambda x: contains(lower(x.raw), 'skåpbil'))) > 0""",
+        "attachments": r"""SELECT DISTINCT file, image FROM (SELECT file, unnest(list_concat(coalesce(bilagor, []), coalesce(embeds, []))) AS image FROM reports) WHERE regexp_matches(image, '(?i)\.(jpe?g|png|webp)$')""",
+        "quiet_reports": sql("SELECT file FROM scores WHERE score < 5", "scores"),
+        "demo_schedule": r"""WITH t AS (SELECT file, tnr, CAST(substr(tnr, 1, 2) AS INT) * 1440 + CAST(substr(tnr, 3, 2) AS INT) * 60 + CAST(substr(tnr, 5, 2) AS INT) AS m FROM reports
+  WHERE substr(tnr, 1, 2) = '06' AND regexp_full_match(tnr, '\d{6}')),
+o AS (SELECT *, row_number() OVER (ORDER BY m, file) - 1 AS i, (m - min(m) OVER ()) * 60 / 60.0 AS ideal FROM t)
+SELECT file, round(i * 2.0 + max(ideal - i * 2.0) OVER (ORDER BY i), 6) AS at_s FROM o""",
     }
+
+
+#: Letters as the wrong encoding shows them, for the checking SQL.
+_MISREAD = [("Ã¥", "å"), ("Ã¤", "ä"), ("Ã¶", "ö"), ("Ã…", "Å"), ("Ã„", "Ä"), ("Ã–", "Ö"), ("Ã©", "é"), ("Ã¼", "ü"), ("Ã¸", "ø"), ("Ã¦", "æ"), ("ÃŸ", "ß"), ("Â ", " "), ("Â", "")]
