@@ -19,6 +19,18 @@ def bounded(pattern: str) -> str:
     return f"{_BEFORE}(?:{pattern}){_AFTER}"
 
 
+def edged(words: tuple[str, ...]) -> str:
+    """A choice of words between ASCII word edges, as engines without Unicode see them: after å, ä or ö an edge needs a word character."""
+    inside = "[A-Za-z0-9_]"
+
+    def one(word: str) -> str:
+        before = _BEFORE if re.match(inside, word[0]) else f"(?<={inside})"
+        after = _AFTER if re.match(inside, word[-1]) else f"(?={inside})"
+        return before + re.escape(word) + after
+
+    return "|".join(map(one, words))
+
+
 def any_word(text: Column, words: list[str] | tuple[str, ...]) -> Column:
     """Whether one of the words stands alone, Swedish letters counting as letters."""
     choice = "|".join(map(re.escape, words))

@@ -50,9 +50,8 @@ def label_components(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
 
 
-def actors(sighted: DataFrame, tied: DataFrame) -> DataFrame:
+def actors(sighted: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, root, facets, vehicles, marks, types): components of two or more types."""
-    labels = label_components(tied)
     vertices = sighted.select(F.col("facet").alias("node"), "type", "label").distinct().join(labels, "node")
     grouped = vertices.groupBy("root").agg(
         F.count(F.lit(1)).alias("facets"),
@@ -67,9 +66,8 @@ def actors(sighted: DataFrame, tied: DataFrame) -> DataFrame:
     return grouped.filter(F.size("types") >= 2).select(name.alias("id"), "root", "facets", "vehicles", "marks", "types")
 
 
-def chains(found: DataFrame, sighted: DataFrame, tied: DataFrame, reports: DataFrame) -> DataFrame:
+def chains(found: DataFrame, sighted: DataFrame, tied: DataFrame, labels: DataFrame, reports: DataFrame) -> DataFrame:
     """(actor, file, tnr, tidpunkt, plats): the messages that tie an actor's facets, one row each."""
-    labels = label_components(tied)
     placed = sighted.select(F.col("facet").alias("node"), "file").join(labels, "node").join(found.select(F.col("id").alias("actor"), "root"), "root")
     # A message supports an actor if two of its facets are in it and tied strongly enough.
     pair = placed.groupBy("actor", "file").agg(F.array_sort(F.collect_set("node")).alias("f")).filter(F.size("f") > 1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import any_of, bounded, first_of, quoted
+from ..functions.text import any_of, bounded, edged, first_of, quoted
 from .craft import prose
 
 ATTRS = "array<struct<dim:string,value:string>>"
@@ -29,7 +29,7 @@ def attributes(column: str) -> Column:
     """(dim, value) pairs that a column of lower-case clauses shows."""
     tests = []
     for colour in dict.fromkeys(c for _, c in V.MARK_COLOURS):
-        tests.append((bounded("|".join(w for w, c in V.MARK_COLOURS if c == colour)), "farg", colour))
+        tests.append((edged(tuple(w for w, c in V.MARK_COLOURS if c == colour)), "farg", colour))
     tests.append(("|".join(V.MARKINGS), "marking", "ja"))
     for optic in dict.fromkeys(t for _, t in V.OPTIC_TYPES):
         tests.append(("|".join(w for w, t in V.OPTIC_TYPES if t == optic), "typ", optic))

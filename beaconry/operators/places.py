@@ -38,17 +38,18 @@ def claims(reports: DataFrame, elevated: DataFrame, places: DataFrame) -> DataFr
 
 def locations(claimed: DataFrame, places: DataFrame) -> DataFrame:
     """(place, reports, elevated, plates, lat, lon, predefined): every place, predefined ones without reports included."""
-    first = F.when(F.col("lat").isNotNull(), F.struct("lat", "lon"))
-    grouped = claimed.groupBy("place").agg(
-        F.count(F.lit(1)).alias("reports"),
-        F.count_if("elevated").alias("elevated"),
-        F.min_by(first, F.when(F.col("lat").isNotNull(), F.struct("file"))).alias("at"),
-        F.bool_or("predefined").alias("predefined"),
+    # A report's first plate, or its lack of any, stands for the report: one pass counts reports and distinct plates.
+    rows = claimed.select("place", "file", "elevated", "lat", "lon", "predefined", F.posexplode_outer("plates").alias("i", "plate"))
+    once = F.coalesce("i", F.lit(0)) == 0
+    grouped = rows.groupBy("place").agg(
+        F.count_if(once).alias("reports"),
+        F.count_if(once & F.col("elevated")).alias("elevated"),
+        F.countDistinct("plate").alias("plates"),
+        F.min(F.when(F.col("lat").isNotNull(), F.struct("file", "lat", "lon"))).alias("at"),
     )
-    distinct = claimed.select("place", F.explode("plates").alias("plate")).groupBy("place").agg(F.countDistinct("plate").alias("plates"))
     own = places.select(F.col("name").alias("place"), F.struct("lat", "lon").alias("placed"))
-    every = grouped.join(distinct, "place", "left").join(own, "place", "full")
-    at = F.coalesce("placed", "at")
+    every = grouped.join(own, "place", "full")
+    at = F.coalesce("placed", F.struct("at.lat", "at.lon"))
     return every.select(
         "place", F.coalesce("reports", F.lit(0)).alias("reports"), F.coalesce("elevated", F.lit(0)).alias("elevated"), F.coalesce("plates", F.lit(0)).alias("plates"),
         at["lat"].alias("lat"), at["lon"].alias("lon"), F.col("placed").isNotNull().alias("predefined"),

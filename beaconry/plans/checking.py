@@ -69,7 +69,7 @@ UNION ALL SELECT file, 'sender', signal_avsandare_id, false, 5 FROM reports WHER
     "stems": "SELECT * FROM " + values([(f"beteende:{x.key}", i, x.weight, j, s) for i, x in enumerate(V.INDICATORS) for j, s in enumerate(x.stems)]) + " v(key, turn, weight, nth, stem)",
     "behaviour": "SELECT file, key, turn, min(weight) AS weight, arg_min(stem, nth) AS stem FROM said JOIN stems ON contains(t, stem) GROUP BY file, key, turn",
     "hours": "SELECT file, try_cast(nullif(regexp_extract(tidpunkt, 'T(\\d{2}):', 1), '') AS INT) AS h FROM reports",
-    "anchors": f"""SELECT -1 AS seq, 'objektet' AS name, {V.OBJECT_LAT} AS lat, {V.OBJECT_LON} AS lon, 800.0 AS b1, 1600.0 AS b2, 3000.0 AS b3
+    "anchors": f"""SELECT -1 AS seq, 'objektet' AS name, CAST({V.OBJECT_LAT} AS DOUBLE) AS lat, CAST({V.OBJECT_LON} AS DOUBLE) AS lon, CAST(800 AS DOUBLE) AS b1, CAST(1600 AS DOUBLE) AS b2, CAST(3000 AS DOUBLE) AS b3
   UNION ALL SELECT seq, name, lat, lon, greatest(1, radius_m), 2 * greatest(1, radius_m), 4 * greatest(1, radius_m) FROM predefined_places WHERE sensitive AND radius_m IS NOT NULL""",
     "near": f"""SELECT * FROM (SELECT file, seq, name, d, CASE WHEN d < b1 THEN 3 WHEN d < b2 THEN 2 WHEN d < b3 THEN 1 END AS weight,
    row_number() OVER (PARTITION BY file ORDER BY CASE WHEN d < b1 THEN 3 WHEN d < b2 THEN 2 ELSE 1 END DESC, d, seq) AS nth

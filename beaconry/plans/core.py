@@ -11,7 +11,7 @@ from ..functions import grid, text
 from ..functions import vocabulary as V
 from ..functions.instants import SQL_EPOCH
 from ..operators import actors, cells, craft, delivery, feeds, identifiers, late_events, marks, places, suspects, suspicion, vehicles
-from ..session import read_table
+from ..session import ensure_checkpoint_dir, read_table
 from . import checking
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,13 +74,15 @@ def claims_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facets_of(spark: SparkSession, d: str) -> DataFrame:
+    """Sightings of vehicles and recurring marks, written once because several steps read them."""
+    ensure_checkpoint_dir(spark)
     reports = reports_of(spark, d)
-    return actors.facets(vehicles.observations(reports), marks.members(marks.marks(reports)))
+    return actors.facets(vehicles.observations(reports), marks.members(marks.marks(reports))).checkpoint()
 
 
 def actors_of(spark: SparkSession, d: str, threshold: int = 1) -> DataFrame:
     sighted = facets_of(spark, d)
-    return actors.actors(sighted, actors.edges(sighted, threshold))
+    return actors.actors(sighted, actors.label_components(actors.edges(sighted, threshold)))
 
 
 def alerts_of(spark: SparkSession, d: str) -> DataFrame:
@@ -191,9 +193,11 @@ def q_actors_2(spark: SparkSession, d: str) -> DataFrame:
 
 def q_actor_chains(spark: SparkSession, d: str) -> DataFrame:
     sighted = facets_of(spark, d)
-    tied = actors.edges(sighted)
-    chain = actors.chains(actors.actors(sighted, tied), sighted, tied, reports_of(spark, d))
-    return actors.spans(chain).join(actors.actors(sighted, tied).select(F.col("id").alias("actor"), "root"), "actor").select("root", "messages", "first_seen", "last_seen")
+    tied = actors.edges(sighted).checkpoint()
+    labels = actors.label_components(tied)
+    found = actors.actors(sighted, labels).checkpoint()
+    chain = actors.chains(found, sighted, tied, labels, reports_of(spark, d))
+    return actors.spans(chain).join(found.select(F.col("id").alias("actor"), "root"), "actor").select("root", "messages", "first_seen", "last_seen")
 
 
 def q_alerts(spark: SparkSession, d: str) -> DataFrame:
