@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import SWEDISH, quoted
+from ..functions.text import SWEDISH, contains_any, quoted
 from .identifiers import with_items
 
 
@@ -19,10 +19,12 @@ def kinds(column: str) -> Column:
     """The kinds a column of lower-case text names, in the taxonomy's order, each once."""
     found = []
     for c in V.CRAFTS:
-        words = "|".join(c.words)
-        pattern = "|".join([f"(?<![{SWEDISH}])(?:{words})(?![{SWEDISH}])", *c.stems])
+        # The pattern is only tried where a plain search finds one of its words.
+        pattern = f"(?<![{SWEDISH}])(?:{'|'.join(c.words)})(?![{SWEDISH}])"
+        whole = f"({contains_any(column, c.words)} and rlike({column}, {quoted(pattern)}))"
+        named = f"({contains_any(column, c.stems)} or {whole})" if c.stems else whole
         item = f"named_struct('type', {quoted(c.key)}, 'medium', {quoted(c.medium)}, 'plated', {str(c.plated).lower()}, 'threat', {c.threat})"
-        found.append(f"if(rlike({column}, {quoted(pattern)}), {item}, null)")
+        found.append(f"if({named}, {item}, null)")
     return F.expr(f"array_compact(array({', '.join(found)}))")
 
 
@@ -39,5 +41,5 @@ def craft(reports: DataFrame) -> DataFrame:
     base = with_items(reports, "handelse", "symbol").withColumn("text", F.lower(prose()))
     whole = F.array_distinct(F.transform(F.filter("items", lambda i: (i["type"] == "plate") & ~i["partial"]), lambda i: i["value"]))
     found = base.select("file", kinds("text").alias("kinds"), F.when(F.size(whole) == 1, whole[0]).alias("sole"))
-    rows = found.filter(F.size("kinds") > 0).select("file", "sole", F.inline("kinds"))
+    rows = found.select("file", "sole", F.inline_outer("kinds")).filter(F.col("type").isNotNull())
     return rows.select("file", "type", "medium", "plated", "threat", F.when(F.col("plated"), F.col("sole")).alias("plate"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.text import bounded, link_target, squeezed
 
+SORTED = "struct<type:string,value:string,partial:boolean,turn:int,raw:string,source:string>"
 ITEM = "struct<type:string,value:string,partial:boolean,raw:string,source:string,turn:int>"
 
 
@@ -55,18 +56,20 @@ def items_of_report() -> Column:
 
 def with_items(reports: DataFrame, *keep: str) -> DataFrame:
     """(file, *keep, items): each report with its distinct identifiers as an array."""
-    everything = reports.select("file", *keep, items_of_report().alias("found"))
-    key = lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), x["partial"].alias("partial"))
-    first = lambda k: F.filter("found", lambda x: (x["type"] == k["type"]) & (x["value"] == k["value"]) & (x["partial"] == k["partial"]))[0]
-    return everything.select("file", *keep, F.transform(F.array_distinct(F.transform("found", key)), first).alias("items"))
+    # Sorted by identity and rank, the first of each run is kept; one pass folds the runs, so nothing is extracted twice.
+    ordered = F.array_sort(F.transform(items_of_report(), lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), x["partial"].alias("partial"), x["turn"].alias("turn"), x["raw"].alias("raw"), x["source"].alias("source"))))
+    same = lambda a, b: (a["type"] == b["type"]) & (a["value"] == b["value"]) & (a["partial"] == b["partial"])
+    start = F.array().cast(f"array<{SORTED}>")
+    runs = F.aggregate(ordered, start, lambda done, x: F.when((F.size(done) > 0) & same(F.element_at(done, -1), x), done).otherwise(F.array_append(done, x)))
+    return reports.select("file", *keep, runs.alias("items"))
 
 
 def identifiers(reports: DataFrame) -> DataFrame:
     """One row per report and identifier: (file, type, value, partial, raw, source)."""
-    return with_items(reports).select("file", F.inline("items")).drop("turn")
+    return with_items(reports).select("file", F.inline_outer("items")).filter(F.col("type").isNotNull()).drop("turn")
 
 
 def plates(reports: DataFrame, *keep: str) -> DataFrame:
     """One row per report and plate: (file, *keep, plate, partial, source)."""
-    rows = with_items(reports, *keep).select("file", *keep, F.explode("items").alias("i")).filter("i.type = 'plate'")
+    rows = with_items(reports, *keep).select("file", *keep, F.explode_outer("items").alias("i")).filter("i.type = 'plate'")
     return rows.select("file", *keep, F.col("i.value").alias("plate"), F.col("i.partial").alias("partial"), F.col("i.source").alias("source"))

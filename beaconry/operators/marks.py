@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import any_of, bounded, edged, first_of, quoted
+from ..functions.text import any_of, bounded, contains_any, edged, first_of, quoted
 from .craft import prose
 
 ATTRS = "array<struct<dim:string,value:string>>"
@@ -27,23 +27,26 @@ def clauses() -> Column:
 
 def attributes(column: str) -> Column:
     """(dim, value) pairs that a column of lower-case clauses shows."""
+    has = lambda words: contains_any(column, tuple(words))
     tests = []
     for colour in dict.fromkeys(c for _, c in V.MARK_COLOURS):
-        tests.append((edged(tuple(w for w, c in V.MARK_COLOURS if c == colour)), "farg", colour))
-    tests.append(("|".join(V.MARKINGS), "marking", "ja"))
+        words = tuple(w for w, c in V.MARK_COLOURS if c == colour)
+        tests.append((f"({has(words)} and rlike({column}, {quoted(edged(words))}))", "farg", colour))
+    tests.append((has(V.MARKINGS), "marking", "ja"))
     for optic in dict.fromkeys(t for _, t in V.OPTIC_TYPES):
-        tests.append(("|".join(w for w, t in V.OPTIC_TYPES if t == optic), "typ", optic))
-    tests += [("|".join(V.UNCLEAR), "synlighet", "otydlig"), ("|".join(V.REAR), "position", "bak"), (bounded("-?tac"), "text", "TAC"), (bounded("dge"), "text", "DGE")]
-    found = [f"if(rlike({column}, {quoted(p)}), named_struct('dim', {quoted(d)}, 'value', {quoted(v)}), null)" for p, d, v in tests]
+        tests.append((has(w for w, t in V.OPTIC_TYPES if t == optic), "typ", optic))
+    tests += [(has(V.UNCLEAR), "synlighet", "otydlig"), (has(V.REAR), "position", "bak")]
+    tests += [(f"(contains({column}, {quoted(w)}) and rlike({column}, {quoted(bounded(w))}))", "text", w.upper()) for w in ("tac", "dge")]
+    found = [f"if({test}, named_struct('dim', {quoted(d)}, 'value', {quoted(v)}), null)" for test, d, v in tests]
     return F.expr(f"array_compact(array({', '.join(found)}))").cast(ATTRS)
 
 
 def classified(reports: DataFrame) -> DataFrame:
     """(file, ..., at, clause, opens, boundary, negated, attrs): every clause and what it does."""
-    rows = reports.select("file", "tnr", "tidpunkt", "plats", "sagesman", F.posexplode(clauses()).alias("at", "clause")).withColumn("lower", F.lower("clause"))
+    rows = reports.select("file", "tnr", "tidpunkt", "plats", "sagesman", F.posexplode_outer(clauses()).alias("at", "clause")).filter(F.col("clause").isNotNull()).withColumn("lower", F.lower("clause"))
     item = first_of("lower", [(w, f"named_struct('object', {quoted(c)}, 'item', {quoted(i)})") for w, c, i in V.RARE_ITEMS])
     thing = first_of("lower", [(w, quoted(o)) for w, o in V.MARK_OBJECTS])
-    rows = rows.withColumns({"item": item, "thing": thing, "attrs": attributes("lower"), "negated": F.col("lower").rlike(bounded("|".join(V.NEGATIONS)))})
+    rows = rows.withColumns({"item": item, "thing": thing, "attrs": attributes("lower"), "negated": any_of("lower", V.NEGATIONS) & F.col("lower").rlike(bounded("|".join(V.NEGATIONS)))})
     decal = any_of("lower", V.MARKINGS) & any_of("lower", V.REAR)
     opens = F.coalesce(F.col("item.object"), F.col("thing"), F.when(decal, F.lit("fordon-dekal")))
     detail = ~any_of("lower", V.GENERIC) & ~F.col("negated") & (F.size("attrs") > 0)
