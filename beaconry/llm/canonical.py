@@ -32,7 +32,7 @@ COLOUR_NAMES = {
 #: Endings that inflected colours and definite objects may have.
 COLOUR_ENDINGS = ["", "a", "t", "fargad", "fargat", "aktig"]
 OBJECT_ENDINGS = ["", "n", "en", "et", "t", "na", "arna"]
-#: Edits allowed to words below 5 letters, below 8, and longer ones.
+#: Edits allowed to words below 5 letters, below 7, and longer ones.
 EDITS_SHORT, EDITS_MIDDLE, EDITS = 1, 2, 3
 UNMATCHED = -1
 #: Entries of the reference list that may be broadcast, with some 2 KB of forms each.
@@ -83,7 +83,7 @@ def _forms() -> Column:
 
 
 def _edits(length: Column) -> Column:
-    return F.when(length < 5, F.lit(EDITS_SHORT)).when(length < 8, F.lit(EDITS_MIDDLE)).otherwise(F.lit(EDITS))
+    return F.when(length < 5, F.lit(EDITS_SHORT)).when(length < 7, F.lit(EDITS_MIDDLE)).otherwise(F.lit(EDITS))
 
 
 def _place(length: Column, k: Column, i: Column) -> tuple[Column, Column]:

@@ -56,7 +56,7 @@ def test_pigeonhole_finds_all_near_words(spark):
                 row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
         return row[-1]
 
-    most = lambda w: 1 if len(w) < 5 else 2 if len(w) < 8 else 3
+    most = lambda w: 1 if len(w) < 5 else 2 if len(w) < 7 else 3
     want = set()
     for t in typed:
         near = [(distance(t, w), w) for w in known if distance(t, w) <= most(w) and len(t) >= 2]
