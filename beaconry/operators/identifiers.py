@@ -73,3 +73,9 @@ def plates(reports: DataFrame, *keep: str) -> DataFrame:
     """One row per report and plate: (file, *keep, plate, partial, source)."""
     rows = with_items(reports, *keep).select("file", *keep, F.explode_outer("items").alias("i")).filter("i.type = 'plate'")
     return rows.select("file", *keep, F.col("i.value").alias("plate"), F.col("i.partial").alias("partial"), F.col("i.source").alias("source"))
+
+
+def prose_plates(reports: DataFrame) -> DataFrame:
+    """(file, plate, source) of every plate a report links and every one its prose names, once each."""
+    rows = reports.select("file", F.inline_outer(items_of_report())).filter((F.col("type") == "plate") & (F.col("turn") <= 3))
+    return rows.select("file", F.col("value").alias("plate"), F.when(F.col("turn") == 0, "link").otherwise("prose").alias("source")).distinct()

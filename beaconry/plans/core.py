@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import grid, text
 from ..functions import vocabulary as V
 from ..functions.instants import SQL_EPOCH
-from ..operators import actors, cells, craft, delivery, feeds, identifiers, late_events, marks, places, suspects, suspicion, vehicles
+from ..operators import actors, cells, craft, delivery, evaluation, feeds, identifiers, late_events, marks, places, suspects, suspicion, vehicles
+from ..sources import models, notes, reports_md
 from ..session import ensure_checkpoint_dir, read_table
-from . import checking
+from . import checking, questions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -283,6 +284,59 @@ def q_quiet(spark: SparkSession, d: str) -> DataFrame:
     return reports_of(spark, d).select("file").join(elevated_of(spark, d).select("file"), "file", "left_anti")
 
 
+def q_parse_files(spark: SparkSession, d: str) -> DataFrame:
+    """Reports written as files and read again."""
+    back = reports_md.parse(reports_md.rendered(reports_of(spark, d)))
+    return back.select("file", "tnr", "plats", "sagesman", "typ")
+
+
+def q_recurring_vehicles(spark: SparkSession, d: str) -> DataFrame:
+    """The question for vehicles seen three times or more."""
+    views = {"vehicles": lambda: vehicles_of(spark, d)}
+    return questions.answer(questions.parse("återkommande fordon minst 3"), views).select("ref", "n", "tidpunkt")
+
+
+def q_timeline_larm(spark: SparkSession, d: str) -> DataFrame:
+    """The question for a timeline of alarms in the night."""
+    asked = questions.parse("tidslinje larm på natten mellan 22 och 5")
+    return questions.answer(asked, {"elevated": lambda: elevated_of(spark, d)}).select("ref", "n")
+
+
+def q_place_question(spark: SparkSession, d: str) -> DataFrame:
+    """The question for an observer's reports at a place."""
+    asked = questions.parse("vilka rapporter från AQ vid Berga")
+    return questions.answer(asked, {"reports": lambda: reports_of(spark, d)}).select("ref")
+
+
+def q_haversine(spark: SparkSession, d: str) -> DataFrame:
+    """How far each place is from the protected object."""
+    metres = cells.distance_m(F.lit(V.OBJECT_LAT), F.lit(V.OBJECT_LON), F.col("lat"), F.col("lon"))
+    return places_of(spark, d).filter(cells.valid(F.col("lat"), F.col("lon"))).select("seq", text.half_up(metres).cast("long").alias("metres"))
+
+
+def q_eval_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of two groupings of reports, by observer and by delivery batch."""
+    rows = reports_of(spark, d).filter(F.col("sagesman").isNotNull())
+    by = lambda c: rows.select(F.col("file").alias("item"), F.col(c).cast("string").alias("group"))
+    agreed = evaluation.pair_agreement(by("sagesman"), by("batch_no"))
+    return agreed.select("pairs_found", "pairs_true", "pairs_both", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+def q_corroboration(spark: SparkSession, d: str) -> DataFrame:
+    """Plates in links against those in prose: confirmed, in conflict, or alone."""
+    every = identifiers.prose_plates(reports_of(spark, d))
+    return models.corroboration(every.filter("source = 'link'").select("file", "plate"), every.filter("source = 'prose'").select("file", "plate"))
+
+
+def q_vehicle_notes(spark: SparkSession, d: str) -> DataFrame:
+    """What would be written, kept and pruned if the last batch's reports were taken back."""
+    reports = reports_of(spark, d)
+    last = F.broadcast(reports.agg(F.max("batch_no").alias("last_batch")))
+    before = reports.join(last).filter("batch_no < last_batch").drop("last_batch")
+    current = notes.vehicle_notes(vehicles.observations(reports))
+    return notes.upsert(current, notes.vehicle_notes(vehicles.observations(before)), "jobb-a").select("path", "action")
+
+
 def q_demo_schedule(spark: SparkSession, d: str) -> DataFrame:
     """When each report of a day is replayed: its own time at 60 times the speed, never closer than 2 s."""
     from ..streaming.replay import schedule
@@ -354,6 +408,14 @@ def queries() -> dict[str, Query]:
         "attachments": q_attachments,
         "quiet_reports": q_quiet,
         "demo_schedule": q_demo_schedule,
+        "parse_files": q_parse_files,
+        "q_recurring_vehicles": q_recurring_vehicles,
+        "q_timeline_larm": q_timeline_larm,
+        "q_place_question": q_place_question,
+        "haversine": q_haversine,
+        "eval_pairs": q_eval_pairs,
+        "plate_corroboration": q_corroboration,
+        "vehicle_notes": q_vehicle_notes,
     }
 
 
@@ -428,6 +490,18 @@ WHERE minute >= 1320 OR minute <= 300""",
 OR len(list_filter(links, lambda x: contains(lower(x.raw), 'skåpbil'))) > 0""",
         "attachments": r"""SELECT DISTINCT file, image FROM (SELECT file, unnest(list_concat(coalesce(bilagor, []), coalesce(embeds, []))) AS image FROM reports) WHERE regexp_matches(image, '(?i)\.(jpe?g|png|webp)$')""",
         "quiet_reports": sql("SELECT file FROM scores WHERE score < 5", "scores"),
+        "parse_files": f"""SELECT file, coalesce(tnr, '') AS tnr, trim(coalesce({guard('plats')}, '')) AS plats, trim(coalesce(sagesman, '')) AS sagesman, coalesce(typ, '') AS typ FROM reports""",
+        "q_recurring_vehicles": sql("SELECT canonical AS ref, count AS n, last_seen AS tidpunkt FROM ents WHERE count >= 3", "ents"),
+        "q_timeline_larm": sql("SELECT file AS ref, CAST(score AS BIGINT) AS n FROM elevated JOIN hours USING (file) WHERE h >= 22 OR h < 5 OR (h = 5 AND contains(tidpunkt, 'T05:00'))", "elevated", "hours"),
+        "q_place_question": "SELECT file AS ref FROM reports WHERE contains(upper(sagesman), 'AQ') AND contains(lower(plats), 'berga')",
+        "haversine": f"SELECT seq, CAST(floor({checking.distance('o', 'p')} + 0.5) AS BIGINT) AS metres FROM (SELECT CAST({V.OBJECT_LAT} AS DOUBLE) AS lat, CAST({V.OBJECT_LON} AS DOUBLE) AS lon) o, (SELECT * FROM predefined_places WHERE {checking.VALID}) p",
+        "eval_pairs": """WITH c AS (SELECT sagesman AS g, batch_no AS h FROM reports WHERE sagesman IS NOT NULL),
+f AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT count(*) AS n FROM c GROUP BY g)), t AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT count(*) AS n FROM c GROUP BY h)),
+b AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT count(*) AS n FROM c GROUP BY g, h))
+SELECT CAST(f.v AS DOUBLE) AS pairs_found, CAST(t.v AS DOUBLE) AS pairs_true, CAST(b.v AS DOUBLE) AS pairs_both, round(CAST(b.v AS DOUBLE) / CAST(f.v AS DOUBLE), 6) AS precision, round(CAST(b.v AS DOUBLE) / CAST(t.v AS DOUBLE), 6) AS recall FROM f, t, b""",
+        "plate_corroboration": sql("""SELECT DISTINCT l.file, l.value AS plate, CASE WHEN EXISTS (SELECT 1 FROM found p WHERE p.file = l.file AND p.type = 'plate' AND p.turn BETWEEN 1 AND 3 AND p.value = l.value) THEN 'confirmed'
+ WHEN EXISTS (SELECT 1 FROM found p WHERE p.file = l.file AND p.type = 'plate' AND p.turn BETWEEN 1 AND 3) THEN 'conflict' ELSE 'none' END AS state
+FROM found l WHERE l.turn = 0""", "found"),
         "demo_schedule": r"""WITH t AS (SELECT file, tnr, CAST(substr(tnr, 1, 2) AS INT) * 1440 + CAST(substr(tnr, 3, 2) AS INT) * 60 + CAST(substr(tnr, 5, 2) AS INT) AS m FROM reports
   WHERE substr(tnr, 1, 2) = '06' AND regexp_full_match(tnr, '\d{6}')),
 o AS (SELECT *, row_number() OVER (ORDER BY m, file) - 1 AS i, (m - min(m) OVER ()) * 60 / 60.0 AS ideal FROM t)
