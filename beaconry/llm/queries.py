@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folding import misreadings
 from ..session import read_table
 from . import byte_bpe, canonical, components, cooccurrence, leakage, quality
 
@@ -68,6 +69,18 @@ p AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM o x JOIN o y ON x.r = y.r AN
 PAIRS_SQL = " FROM p JOIN c ca ON ca.i = p.a JOIN c cb ON cb.i = p.b, tot WHERE p.n * tot.big >= 5 * ca.n * cb.n"
 
 
+def _words_sql(table: str, key: str) -> str:
+    """The folded words of a table's texts, in SQL."""
+    text = "regexp_replace(text, '</?[A-Za-z][^<>]{0,80}>', ' ', 'g')"
+    for misread, letter in misreadings():
+        text = f"replace({text}, '{misread}', '{letter}')" if "'" not in misread else text
+    return rf"SELECT {key}, regexp_extract_all(strip_accents(lower(replace({text}, chr(8203), ''))), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL"
+
+
+def _runs_sql(table: str, key: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM ({_words_sql(table, key)}) WHERE len(w) >= 13)"
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
@@ -84,6 +97,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_runs_sql('documents', 'doc_id')}) d JOIN ({_runs_sql('eval_items', 'item_id')}) i USING (g)",
         "p3_found": BASKETS_SQL + "SELECT p.a AS facet_a, p.b AS facet_b" + PAIRS_SQL,
         "p3_lift": BASKETS_SQL
         + "SELECT p.a AS item_a, p.b AS item_b, p.n AS n, ca.n AS n_a, cb.n AS n_b, round(p.n * tot.big / (ca.n * cb.n), 6) AS lift"
