@@ -490,7 +490,7 @@ WHERE minute >= 1320 OR minute <= 300""",
 OR len(list_filter(links, lambda x: contains(lower(x.raw), 'skåpbil'))) > 0""",
         "attachments": r"""SELECT DISTINCT file, image FROM (SELECT file, unnest(list_concat(coalesce(bilagor, []), coalesce(embeds, []))) AS image FROM reports) WHERE regexp_matches(image, '(?i)\.(jpe?g|png|webp)$')""",
         "quiet_reports": sql("SELECT file FROM scores WHERE score < 5", "scores"),
-        "parse_files": f"""SELECT file, coalesce(tnr, '') AS tnr, trim(coalesce({guard('plats')}, '')) AS plats, trim(coalesce(sagesman, '')) AS sagesman, coalesce(typ, '') AS typ FROM reports""",
+        "parse_files": f"""SELECT file, coalesce(tnr, '') AS tnr, trim(coalesce({guard('plats')}, '')) AS plats, trim(coalesce({guard('sagesman')}, '')) AS sagesman, coalesce(typ, '') AS typ FROM reports""",
         "q_recurring_vehicles": sql("SELECT canonical AS ref, count AS n, last_seen AS tidpunkt FROM ents WHERE count >= 3", "ents"),
         "q_timeline_larm": sql("SELECT file AS ref, CAST(score AS BIGINT) AS n FROM elevated JOIN hours USING (file) WHERE h >= 22 OR h < 5 OR (h = 5 AND contains(tidpunkt, 'T05:00'))", "elevated", "hours"),
         "q_place_question": "SELECT file AS ref FROM reports WHERE contains(upper(sagesman), 'AQ') AND contains(lower(plats), 'berga')",
