@@ -10,8 +10,8 @@ Work is bounded on both sides without losing a pair: a pair can only reach
 ``min_together`` and ``min_lift`` if each item occurs at least ``min_together``
 times and in at most N / ``min_lift`` records, since n(a,b) <= min(n(a), n(b)).
 Items seen in a large share of all records therefore leave before any product.
-A basket of any size is spread over all pairs of item blocks, and a product is
-made in chunks of bounded size.
+A basket of any size is spread over all pairs of item blocks, whose number grows with
+the largest basket, and a product is made in chunks of bounded size.
 
 Defined cases: null records or items are no occurrence; an item twice in a record
 counts once; a pair is reported with the smaller item first (binary order); empty
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-#: Item blocks; a task multiplies two of them.
+#: Least item blocks; a task multiplies two of them.
 ITEM_BLOCKS = 4
+#: Items that one basket may have in a block; larger baskets raise the number of blocks.
+BASKET_IN_BLOCK = 10_000
 #: Occurrences that one record block should hold.
 BLOCK_OCCURRENCES = 40_000
 #: Products expanded at a time within a task.
@@ -85,12 +87,12 @@ def _products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": left, "b": right, "n": counts})
 
 
-def gram(incidence: DataFrame, record_blocks: int) -> DataFrame:
+def gram(incidence: DataFrame, record_blocks: int, item_blocks: int = ITEM_BLOCKS) -> DataFrame:
     """Counts of all pairs of items (numbers): (a, b, n)."""
     ship_package(incidence.sparkSession)
-    block = F.pmod(F.hash("item"), F.lit(ITEM_BLOCKS))
+    block = F.pmod(F.hash("item"), F.lit(item_blocks))
     pairs = F.transform(
-        F.sequence(F.lit(0), F.lit(ITEM_BLOCKS - 1)), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j"))
+        F.sequence(F.lit(0), F.lit(item_blocks - 1)), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j"))
     )
     placed = incidence.select(
         "record", "item", block.alias("block"), F.pmod(F.xxhash64("record"), F.lit(record_blocks)).alias("records"), F.explode(pairs).alias("p")
@@ -106,8 +108,10 @@ def together(baskets: DataFrame, min_together: int = 5, min_lift: float = 5) ->
     sums = numbered.groupBy("code").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("n"))
     able = sums.filter((F.col("n") >= min_together) & (F.col("n") * F.lit(float(min_lift)) <= total))
     incidence = numbered.join(able.select("code"), "code").select("record", F.col("code").alias("item"))
-    size = incidence.count()
-    counts = gram(incidence, max(1, math.ceil(size / BLOCK_OCCURRENCES))).filter(F.col("n") >= min_together)
+    sizes = incidence.groupBy("record").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("largest")).first()
+    record_blocks = max(1, math.ceil((sizes["all"] or 0) / BLOCK_OCCURRENCES))
+    item_blocks = max(ITEM_BLOCKS, math.ceil((sizes["largest"] or 0) / BASKET_IN_BLOCK))
+    counts = gram(incidence, record_blocks, item_blocks).filter(F.col("n") >= min_together)
     a = able.select(F.col("code").alias("a"), F.col("item").alias("x"), F.col("n").alias("n_x"))
     b = able.select(F.col("code").alias("b"), F.col("item").alias("y"), F.col("n").alias("n_y"))
     first = F.col("x") < F.col("y")

@@ -84,6 +84,7 @@ def pairs_by_hand(baskets, least, lift):
 def test_pairs_against_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(cooccurrence, "CHUNK", chunk)
     monkeypatch.setattr(cooccurrence, "BLOCK_OCCURRENCES", 300)
+    monkeypatch.setattr(cooccurrence, "BASKET_IN_BLOCK", 1 if chunk == 7 else 10_000)
     pick = random.Random(3)
     baskets = {(f"b{i}", f"x{pick.randint(0, 40)}") for i in range(300) for _ in range(pick.randint(0, 6))} | {(f"b{i}", x) for i in range(12) for x in ("x1", "x2", "x3")} | {(f"b{i}", "hub") for i in range(280)}
     df = spark.createDataFrame(sorted(baskets), "record string, item string")
