@@ -43,11 +43,12 @@ def sender(text: Column) -> Column:
     return F.coalesce(long_id(text), F.nullif(bare(text), F.lit("")))
 
 
-def identified(df: DataFrame) -> DataFrame:
-    """(file, received_at, message): message is null for a message of its own."""
+def _keys(df: DataFrame, *carried: str) -> DataFrame:
+    """(file, received_at, sender, sent, message, lost, *carried): the message a row names by itself, ``lost`` if only sender and instant can tell it."""
     base = df.select(
         "file",
         "received_at",
+        *carried,
         long_id(F.col("id")).alias("hex"),
         running_number(F.col("id")).alias("number"),
         sender(F.col("signal_avsandare_id")).alias("sender"),
@@ -59,16 +60,25 @@ def identified(df: DataFrame) -> DataFrame:
         ),
     )
     lost = F.col("message").isNull() & F.col("number").isNull() & F.col("sender").isNotNull() & F.col("sent").isNotNull()
+    return base.withColumn("lost", lost).drop("hex", "number")
+
+
+def _own_key() -> Column:
+    """The message of lost rows of a sender and instant that no identified message has."""
+    return F.concat(F.lit("s:"), "sender", F.lit(":"), F.col("sent").cast("string"))
+
+
+def identified(df: DataFrame) -> DataFrame:
+    """(file, received_at, message): message is null for a message of its own."""
+    base = _keys(df)
     # The earliest message a sender sent in a second answers for rows that lost their id.
     known = (
         base.filter(F.col("message").isNotNull() & F.col("sender").isNotNull() & F.col("sent").isNotNull())
         .groupBy("sender", "sent")
         .agg(F.min(F.struct("received_at", "message")).getField("message").alias("by_instant"))
     )
-    found = base.filter(lost).join(known, ["sender", "sent"], "left").select(
-        "file", "received_at", F.coalesce("by_instant", F.concat(F.lit("s:"), "sender", F.lit(":"), F.col("sent").cast("string"))).alias("message")
-    )
-    return base.filter(~lost).select("file", "received_at", "message").unionByName(found)
+    found = base.filter("lost").join(known, ["sender", "sent"], "left").select("file", "received_at", F.coalesce("by_instant", _own_key()).alias("message"))
+    return base.filter(~F.col("lost")).select("file", "received_at", "message").unionByName(found)
 
 
 def ranked(messages: DataFrame) -> DataFrame:
@@ -96,6 +106,45 @@ def deduplicated(df: DataFrame) -> DataFrame:
     return ranked(rows.filter(F.col("message").isNotNull())).filter(~F.col("copy")).select("file", "message").unionByName(own)
 
 
+def identities(df: DataFrame, batch: Column | None = None) -> DataFrame:
+    """(message, sender, sent, received_at, batch) of all rows, surplus copies too: what later batches are told apart by.
+
+    One row per message, sender and instant, with its first batch and arrival in it.
+    Lost rows stand under sender and instant, for the message that answers for them
+    may come later. Without ``batch`` all rows are of one.
+    """
+    rows = _keys(df.withColumn("__batch", F.lit(0) if batch is None else batch), "__batch")
+    named = rows.withColumn("message", F.when(F.col("lost"), _own_key()).otherwise(F.col("message"))).filter(F.col("message").isNotNull())
+    first = F.min(F.struct(F.col("__batch").alias("batch"), F.col("received_at").isNull().alias("untimed"), "received_at")).alias("first")
+    return named.groupBy("message", "sender", "sent").agg(first).select("message", "sender", "sent", "first.received_at", "first.batch")
+
+
 def new_messages(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """The rows of a batch to store: first copies whose message is not among ``stored`` (message)."""
-    return deduplicated(batch).join(stored.select("message").filter(F.col("message").isNotNull()).distinct(), "message", "left_anti").select("file", "message")
+    """The rows of a batch to store: (file, message) of first copies whose message is not among ``stored``.
+
+    ``stored`` has the ``identities`` of all earlier batches. Lost ids of both sides go
+    to the first message identified with their sender and instant, in the order of
+    batches: a lost row is a copy of a stored message, and an identified row a copy of
+    a stored lost one. A stored table of only (message) can tell messages by id alone.
+    """
+    if not {"sender", "sent", "received_at", "batch"} <= set(stored.columns):
+        bare_ids = stored.select("message").filter(F.col("message").isNotNull()).distinct()
+        return deduplicated(batch).join(bare_ids, "message", "left_anti").select("file", "message")
+    earlier = stored.filter(F.col("message").isNotNull()).select("message", "sender", "sent", "received_at", F.col("batch").cast("long").alias("turn"), F.col("message").startswith("s:").alias("lost"))
+    rows = _keys(batch).withColumn("turn", F.lit(None).cast("long"))
+    order = F.struct(F.col("turn").isNull().alias("now"), "turn", F.col("received_at").isNull().alias("untimed"), "received_at", "message")
+    answers = (
+        earlier.unionByName(rows.select(*earlier.columns))
+        .filter(~F.col("lost") & F.col("message").isNotNull() & F.col("sender").isNotNull() & F.col("sent").isNotNull())
+        .groupBy("sender", "sent")
+        .agg(F.min(order).getField("message").alias("by_instant"))
+    )
+
+    def told(df: DataFrame, *columns: str) -> DataFrame:
+        lost = df.filter("lost").join(answers, ["sender", "sent"], "left").withColumn("message", F.coalesce("by_instant", _own_key()))
+        return df.filter(~F.col("lost")).select(*columns).unionByName(lost.select(*columns))
+
+    now = told(rows, "file", "received_at", "message")
+    firsts = ranked(now.filter(F.col("message").isNotNull())).filter(~F.col("copy")).select("file", "message")
+    own = now.filter(F.col("message").isNull()).select("file", "message")
+    return firsts.join(told(earlier, "message").distinct(), "message", "left_anti").select("file", "message").unionByName(own)

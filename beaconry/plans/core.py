@@ -35,7 +35,7 @@ def p4_new_messages(spark: SparkSession, d: str) -> DataFrame:
     reports = read_table(spark, d, "reports")
     last = F.broadcast(reports.agg(F.max("batch_no").alias("last_batch")))
     marked = reports.join(last)
-    stored = delivery.deduplicated(marked.filter("batch_no < last_batch"))
+    stored = delivery.identities(marked.filter("batch_no < last_batch"), F.col("batch_no"))
     return delivery.new_messages(marked.filter("batch_no = last_batch"), stored)
 
 

@@ -13,12 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..operators import delivery, feeds
 from ..operators.late_events import CUT_OFF_S
 
 
+#: What is kept of every message met, beside its batch.
+_IDENTITY = [StructField("message", StringType()), StructField("sender", StringType()), StructField("sent", LongType()), StructField("received_at", TimestampType())]
+
+
 def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A state table, empty before its first batch."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,10 +43,11 @@ def take_batch(batch: DataFrame, number: int, state: str, analyse: Callable[[Dat
     fields, keys = batch.schema.fields, [StructField("key", StringType())]
     earlier = known("reports", fields).filter(F.col("batch") < number)
     fresh = batch.dropDuplicates(["file"]).join(earlier.select("file").distinct(), "file", "left_anti")
-    stored_ids = delivery.identified(earlier).filter(F.col("message").isNotNull()).select("message")
-    firsts = delivery.deduplicated(fresh).join(stored_ids.distinct(), "message", "left_anti") if not earlier.isEmpty() else delivery.deduplicated(fresh)
-    own = delivery.deduplicated(fresh).filter(F.col("message").isNull())
-    kept = fresh.join(firsts.select("file").unionByName(own.select("file")).distinct(), "file", "left_semi")
+    # Copies that were left out told their message too, so identities are kept beside the reports.
+    told = known("messages", _IDENTITY)
+    delivery.identities(fresh).drop("batch").write.mode("overwrite").parquet(f"{state}/messages/batch={number}")
+    before = told.filter(F.col("batch") < number).unionByName(delivery.identities(earlier, F.col("batch")))
+    kept = fresh.join(delivery.new_messages(fresh, before).select("file"), "file", "left_semi")
     kept.write.mode("overwrite").parquet(f"{state}/reports/batch={number}")
     everything = known("reports", fields).filter(F.col("batch") <= number).drop("batch")
     now = analyse(everything)

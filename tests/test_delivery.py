@@ -53,5 +53,21 @@ def test_new_messages_against_stored(spark):
     assert sorted(r.file for r in delivery.new_messages(batch, stored).collect()) == ["b", "d"]  # d cannot be told from anything, so it is kept
 
 
+def test_lost_ids_are_told_apart_by_stored_messages(spark):
+    at = "2018-06-04T09:00:01Z"
+    new = lambda batch, *earlier: sorted(r.file for r in delivery.new_messages(rows_of(spark, batch), delivery.identities(rows_of(spark, earlier))).collect())
+    assert new([("b", None, "s", at, T[1]), ("c", None, "s", "2018-06-04T09:00:02Z", T[1])], ("a", LONG, "s", at, T[0])) == ["c"]
+    # A stored copy that was left out told sender and instant.
+    assert new([("c", None, "s", at, T[2])], ("a", LONG, None, None, T[0]), ("b", LONG, "s", at, T[1])) == []
+
+
+def test_identified_rows_are_copies_of_a_stored_lost_one(spark):
+    other, at = "5" * 32, "2018-06-04T09:00:01Z"
+    new = lambda batch, *earlier: sorted(r.file for r in delivery.new_messages(rows_of(spark, batch), delivery.identities(rows_of(spark, earlier))).collect())
+    # One message answers for the lost row; another of that instant is new, and a copy that lost its instant is known by its id.
+    assert new([("b", LONG, "s", at, T[1]), ("c", other, "s", at, T[2]), ("d", LONG, None, None, T[3])], ("a", None, "s", at, T[0])) == ["c"]
+    assert new([("d", LONG, None, None, T[3]), ("e", other, "s", at, T[4])], ("a", None, "s", at, T[0]), ("b", LONG, "s", at, T[1])) == ["e"]
+
+
 def test_empty(spark):
     assert surplus(spark, []) == []
