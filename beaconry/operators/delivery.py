@@ -45,15 +45,14 @@ def sender(text: Column) -> Column:
 
 def _keys(df: DataFrame, *carried: str) -> DataFrame:
     """(file, received_at, sender, sent, message, lost, *carried): the message a row names by itself, ``lost`` if only sender and instant can tell it."""
-    base = df.select(
-        "file",
-        "received_at",
-        *carried,
+    read = F.struct(
         long_id(F.col("id")).alias("hex"),
         running_number(F.col("id")).alias("number"),
         sender(F.col("signal_avsandare_id")).alias("sender"),
         epoch_seconds(F.col("signal_tidpunkt")).alias("sent"),
-    ).withColumn(
+    )
+    # Inlined from an array, so that filters on these columns don't repeat the patterns.
+    base = df.select("file", "received_at", *carried, F.inline(F.array(read))).withColumn(
         "message",
         F.when(F.col("hex").isNotNull(), F.concat(F.lit("h:"), "hex")).when(
             F.col("number").isNotNull() & F.col("sender").isNotNull(), F.concat(F.lit("n:"), "sender", F.lit(":"), "number")
@@ -68,29 +67,35 @@ def _own_key() -> Column:
     return F.concat(F.lit("s:"), "sender", F.lit(":"), F.col("sent").cast("string"))
 
 
-def identified(df: DataFrame) -> DataFrame:
-    """(file, received_at, message): message is null for a message of its own."""
-    base = _keys(df)
+def identified(df: DataFrame, batch: str | None = None) -> DataFrame:
+    """(file, received_at, message), and ``batch``: message is null for a message of its own.
+
+    With a column ``batch``, batches come one after the other whatever their arrival times.
+    """
+    carried = [batch] if batch else []
+    base = _keys(df, *carried)
+    order = ["received_at", "message"] if not batch else [F.col(batch).isNull().alias("unnumbered"), batch, F.col("received_at").isNull().alias("untimed"), "received_at", "message"]
     # The earliest message a sender sent in a second answers for rows that lost their id.
     known = (
         base.filter(F.col("message").isNotNull() & F.col("sender").isNotNull() & F.col("sent").isNotNull())
         .groupBy("sender", "sent")
-        .agg(F.min(F.struct("received_at", "message")).getField("message").alias("by_instant"))
+        .agg(F.min(F.struct(*order)).getField("message").alias("by_instant"))
     )
-    found = base.filter("lost").join(known, ["sender", "sent"], "left").select("file", "received_at", F.coalesce("by_instant", _own_key()).alias("message"))
-    return base.filter(~F.col("lost")).select("file", "received_at", "message").unionByName(found)
+    found = base.filter("lost").join(known, ["sender", "sent"], "left").select("file", "received_at", *carried, F.coalesce("by_instant", _own_key()).alias("message"))
+    return base.filter(~F.col("lost")).select("file", "received_at", *carried, "message").unionByName(found)
 
 
-def ranked(messages: DataFrame) -> DataFrame:
-    """Adds ``copy``: true for every row of a message but the first."""
-    order = [F.col("received_at").asc_nulls_last(), F.col("file").asc_nulls_last()]
+def ranked(messages: DataFrame, *before: str) -> DataFrame:
+    """Adds ``copy``: true for every row of a message but the first, by the columns ``before``, arrival and file; never for one of its own."""
+    order = [F.col(c).asc_nulls_last() for c in (*before, "received_at", "file")]
     salt = F.pmod(F.xxhash64("file"), F.lit(SALTS))
-    inner = Window.partitionBy("message", salt).orderBy(*order)
+    key = F.coalesce("message", F.concat(F.lit("o:"), "file"))
+    inner = Window.partitionBy(key, salt).orderBy(*order)
     first = messages.withColumn("__rank", F.row_number().over(inner)).withColumn(
         "__slot", F.when(F.col("__rank") == 1, F.lit(-1)).otherwise(salt)
     )
-    outer = Window.partitionBy("message", "__slot").orderBy(*order)
-    return first.withColumn("copy", (F.col("__rank") > 1) | (F.row_number().over(outer) > 1)).drop("__rank", "__slot")
+    outer = Window.partitionBy(key, "__slot").orderBy(*order)
+    return first.withColumn("copy", F.col("message").isNotNull() & ((F.col("__rank") > 1) | (F.row_number().over(outer) > 1))).drop("__rank", "__slot")
 
 
 def surplus(df: DataFrame) -> DataFrame:
@@ -101,9 +106,7 @@ def surplus(df: DataFrame) -> DataFrame:
 
 def deduplicated(df: DataFrame) -> DataFrame:
     """(file, message) of the one copy kept of each message, messages of their own included."""
-    rows = identified(df)
-    own = rows.filter(F.col("message").isNull()).select("file", "message")
-    return ranked(rows.filter(F.col("message").isNotNull())).filter(~F.col("copy")).select("file", "message").unionByName(own)
+    return ranked(identified(df)).filter(~F.col("copy")).select("file", "message")
 
 
 def identities(df: DataFrame, batch: Column | None = None) -> DataFrame:
@@ -145,6 +148,14 @@ def new_messages(batch: DataFrame, stored: DataFrame) -> DataFrame:
         return df.filter(~F.col("lost")).select(*columns).unionByName(lost.select(*columns))
 
     now = told(rows, "file", "received_at", "message")
-    firsts = ranked(now.filter(F.col("message").isNotNull())).filter(~F.col("copy")).select("file", "message")
-    own = now.filter(F.col("message").isNull()).select("file", "message")
-    return firsts.join(told(earlier, "message").distinct(), "message", "left_anti").select("file", "message").unionByName(own)
+    firsts = ranked(now).filter(~F.col("copy"))
+    return firsts.join(told(earlier, "message").distinct(), "message", "left_anti").select("file", "message")
+
+
+def stored_by_batch(df: DataFrame, batch: str) -> DataFrame:
+    """(file, message, batch): what each batch stores when all are delivered in turn, as ``new_messages`` of one after the other.
+
+    A row is new if no earlier batch and no earlier row of its own has its message, so
+    all anti-joins are one ranking by batch and arrival. Rows without a batch come last.
+    """
+    return ranked(identified(df, batch), batch).filter(~F.col("copy")).select("file", "message", batch)

@@ -31,12 +31,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_new_messages(spark: SparkSession, d: str) -> DataFrame:
-    """The last batch's new messages, against what all earlier batches stored."""
-    reports = read_table(spark, d, "reports")
-    last = F.broadcast(reports.agg(F.max("batch_no").alias("last_batch")))
-    marked = reports.join(last)
-    stored = delivery.identities(marked.filter("batch_no < last_batch"), F.col("batch_no"))
-    return delivery.new_messages(marked.filter("batch_no = last_batch"), stored)
+    """The new messages of every batch, against what all batches before it stored."""
+    return delivery.stored_by_batch(read_table(spark, d, "reports"), "batch_no")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from beaconry.operators import delivery
+from beaconry.plans import core
 
 SCHEMA = "file string, id string, signal_avsandare_id string, signal_tidpunkt string, received_at timestamp, message string, copy boolean"
 LONG = "4c5ab2ff-19a8-4460-94a3-ff89d97fbc78"
@@ -69,5 +72,20 @@ def test_identified_rows_are_copies_of_a_stored_lost_one(spark):
     assert new([("d", LONG, None, None, T[3]), ("e", other, "s", at, T[4])], ("a", None, "s", at, T[0]), ("b", LONG, "s", at, T[1])) == ["e"]
 
 
+def test_every_batch_is_tested_as_new(spark, tmp_path):
+    pick = random.Random(3)
+    ids = [None, None, "7S-00001", "00002", LONG, "5" * 32]
+    rows = [(f"f{i:02}", pick.choice(ids), pick.choice(["s", "s", "t", None]), pick.choice([None, "2018-06-04T09:00:01Z", "2018-06-04T09:00:02Z"]), pick.choice([None, *T]), pick.choice([3, 5, 9])) for i in range(60)]
+    schema = "file string, id string, signal_avsandare_id string, signal_tidpunkt string, received_at timestamp, batch_no int"
+    df = spark.createDataFrame(rows, schema)
+    one_by_one = []
+    for n in (3, 5, 9):
+        before = delivery.identities(df.filter(F.col("batch_no") < n), F.col("batch_no"))
+        one_by_one += [(r.file, n) for r in delivery.new_messages(df.filter(F.col("batch_no") == n), before).collect()]
+    assert {n for _, n in one_by_one} == {3, 5, 9}
+    df.write.parquet(str(tmp_path / "reports.parquet"))
+    assert sorted((r.file, r.batch_no) for r in core.p4_new_messages(spark, str(tmp_path)).collect()) == sorted(one_by_one)
+
+
 def test_empty(spark):
     assert surplus(spark, []) == []
