@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 import re
 import subprocess
 import sys
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconry.operators import evaluation
-from beaconry.plans import questions
+from beaconry.plans import core, questions
 from beaconry.sources import models, notes, reports_md
 from beaconry.streaming import pipeline, replay
 
@@ -151,6 +152,20 @@ def test_replay_keeps_order_and_gap(spark):
     assert [(r.file, r.at_s) for r in replay.schedule(df, 60.0, 2.0).orderBy("at_s").collect()] == [("a", 0.0), ("b", 2.0), ("c", 4.0), ("d", 60.0)]
 
 
+def test_demo_schedule_replays_every_day(spark, tmp_path):
+    pick = random.Random(5)
+    rows = [(f"f{i:03}", f"{pick.choice([4, 6, 7, 30]):02}{pick.randint(0, 2):02}{pick.randint(0, 9):02}") for i in range(300)] + [("x", "fel"), ("y", None)]
+    spark.createDataFrame(rows, "file string, tnr string").repartition(3).write.parquet(str(tmp_path / "reports.parquet"))
+    minute = lambda t: int(t[:2]) * 1440 + int(t[2:4]) * 60 + int(t[4:])
+    queue = sorted((minute(t), f) for f, t in rows[:300])
+    expected, at = {}, None
+    for m, file in queue:
+        ideal = (m - queue[0][0]) * 60 / 60.0
+        at = ideal if at is None else max(ideal, at + 2.0)
+        expected[file] = at
+    assert {r.file: r.at_s for r in core.q_demo_schedule(spark, str(tmp_path)).collect()} == expected
+
+
 def test_core_runs_without_the_training_data_part():
     code = "import sys; sys.modules['beaconry.llm'] = None\nimport __spark_entry__ as e\nassert 'p1_found' in e.queries() and not any(k.startswith('p2') for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
