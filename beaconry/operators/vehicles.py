@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from .identifiers import plates
 
 
+#: What a sighting tells of its report.
+TOLD = ("tnr", "tidpunkt", "plats", "sagesman")
+
+
 def _laid_out(plate: Column) -> Column:
     return F.transform(F.split(plate, ""), lambda c, i: F.struct(i.alias("place"), c.alias("letter")))
 
@@ -48,8 +52,12 @@ def partial_matches(mentions: DataFrame) -> DataFrame:
 
 def observations(reports: DataFrame) -> DataFrame:
     """One row per sighting of a vehicle: (canonical, kind, file, tnr, tidpunkt, plats, sagesman, as_read)."""
-    seen = plates(reports, "tnr", "tidpunkt", "plats", "sagesman")
-    told = ["file", "tnr", "tidpunkt", "plats", "sagesman"]
+    return observed(plates(reports, *TOLD))
+
+
+def observed(seen: DataFrame) -> DataFrame:
+    """``observations`` of plates that were read with the columns of ``TOLD``."""
+    told = ["file", *TOLD]
     whole = seen.filter(~F.col("partial")).select(F.col("plate").alias("canonical"), F.lit("fordon-reg-full").alias("kind"), *told, F.lit(None).cast("string").alias("as_read"))
     fits = partial_matches(seen).select(F.col("partial").alias("plate"), F.when(F.col("n") == 1, F.get("candidates", F.lit(0))).alias("only"))
     merged = F.col("only").isNotNull()

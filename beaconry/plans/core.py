@@ -202,13 +202,24 @@ def q_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_alerts_new(spark: SparkSession, d: str) -> DataFrame:
-    """What is new against a seen-set: here the alerts of all reports but the last batch's."""
+    """What is new against a seen-set: here all alerts of the first half of the batches.
+
+    A report's own reasons, plates and marks don't depend on other reports, so they are
+    read once for both sides; everything that counts reports is derived for each.
+    """
+    ensure_checkpoint_dir(spark)
     reports = reports_of(spark, d)
-    last = F.broadcast(reports.agg(F.max("batch_no").alias("last_batch")))
-    before = suspicion.elevated(suspicion.score(reports.join(last).filter("batch_no < last_batch").drop("last_batch"), places_of(spark, d)))
-    seen = before.select(F.concat(F.lit("förhöjd:"), "file").alias("key"))
-    now = elevated_of(spark, d).select(F.concat(F.lit("förhöjd:"), "file").alias("key"), (F.col("score") + 100).cast("long").alias("rank"))
-    return feeds.unseen(now, seen)
+    middle = F.broadcast(reports.agg(((F.min("batch_no") + F.max("batch_no")) / 2).alias("middle")))
+    earlier = reports.join(middle).filter("batch_no <= middle").select("file")
+    read = [x.checkpoint() for x in (elevated_of(spark, d), identifiers.plates(reports, *vehicles.TOLD), marks.marks(reports))]
+
+    def alerted(hot: DataFrame, plates: DataFrame, marked: DataFrame) -> DataFrame:
+        seen = vehicles.observed(plates)
+        sighted = actors.facets(seen, marks.members(marked)).checkpoint()
+        found = actors.actors(sighted, actors.label_components(actors.edges(sighted)))
+        return feeds.alerts(hot, found, marks.nominations(marked), vehicles.entities(seen)).select("key", "rank")
+
+    return feeds.unseen(alerted(*read), alerted(*[x.join(earlier, "file", "left_semi") for x in read]))
 
 
 def q_feed(spark: SparkSession, d: str) -> DataFrame:

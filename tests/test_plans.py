@@ -13,6 +13,7 @@ from beaconry.plans import core, questions
 from beaconry.sources import models, notes, reports_md
 from beaconry.streaming import pipeline, replay
 
+SMALL = "/root/testdata/sf0.001"
 NOTE = """---
 id: 7S-1
 typ: 7S-rapport
@@ -166,6 +167,18 @@ def test_demo_schedule_replays_every_day(spark, tmp_path):
     assert {r.file: r.at_s for r in core.q_demo_schedule(spark, str(tmp_path)).collect()} == expected
 
 
+def test_new_alerts_of_all_kinds(spark, tmp_path):
+    every, before = str(tmp_path / "all"), str(tmp_path / "before")
+    reports = core.reports_of(spark, SMALL).withColumn("batch_no", (F.crc32("file") % 10).cast("int"))
+    for folder, rows in ((every, reports), (before, reports.filter("batch_no <= 4"))):
+        rows.write.parquet(f"{folder}/reports.parquet")
+        core.places_of(spark, SMALL).write.parquet(f"{folder}/predefined_places.parquet")
+    seen = {r.key for r in core.alerts_of(spark, before).collect()}
+    expected = sorted((r.key, r.rank) for r in core.alerts_of(spark, every).collect() if r.key not in seen)
+    assert {k.split(":")[0] for k, _ in expected} == {"förhöjd", "aktör", "märke", "fordon"}
+    assert sorted((r.key, r.rank) for r in core.q_alerts_new(spark, every).collect()) == expected
+
+
 def test_core_runs_without_the_training_data_part():
     code = "import sys; sys.modules['beaconry.llm'] = None\nimport __spark_entry__ as e\nassert 'p1_found' in e.queries() and not any(k.startswith('p2') for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
