@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import reason_phrases, stem_of
+from ..functions.text import reason_phrases, stem_of, trimmed
 from ..functions.instants import epoch_seconds
 
+#: The time of the first pinned row; the others come right below it.
+PINNED = 2**53 - 1
+#: What follows an actor's, a mark's, a picture's and a text's pending row.
+PINNED_KINDS = 4
+
 
 def alerts(elevated: DataFrame, actors: DataFrame, nominations: DataFrame, vehicles: DataFrame) -> DataFrame:
     """(key, kind, title, rank) of everything worth an alert now."""
@@ -55,6 +60,61 @@ def report_items(reports: DataFrame, elevated: DataFrame) -> DataFrame:
     return rows.select(F.col("file").alias("path"), F.when(F.col("hot"), "larm").otherwise("mottaget").alias("kind"), "time", F.xxhash64("file").alias("seq"))
 
 
+def _items(rows: DataFrame, path: Column, kind: Column | str, time: Column) -> DataFrame:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return rows.select(path.alias("path"), kind.alias("kind"), F.coalesce(time, F.lit(0)).cast("long").alias("time"), F.xxhash64(path).alias("seq"))
+
+
+def _note(name: Column) -> Column:
+    """The file of an entity's note."""
+    return F.concat(F.regexp_replace(name, r'[\\/:*?"<>|.\s]', "_"), F.lit(".md"))
+
+
+def vehicle_items(vehicles: DataFrame) -> DataFrame:
+    """Feed items of identified vehicles, at their last sighting."""
+    return _items(vehicles, _note(F.col("canonical")), "fordon", epoch_seconds(F.col("last_seen")))
+
+
+def confirmed_items(found: DataFrame, decisions: DataFrame, kind: str) -> DataFrame:
+    """Feed items of marks or actors (ref, last_seen) whose decision (ref, decision) is ``confirmed``."""
+    yes = decisions.filter("decision = 'confirmed'").select("ref").distinct()
+    return _items(found.join(yes, "ref", "left_semi"), _note(F.col("ref")), kind, epoch_seconds(F.col("last_seen")))
+
+
+def watch_items(watched: DataFrame) -> DataFrame:
+    """Feed items of watched things with new activity, of ``watch``; the thing's own row stays."""
+    return _items(watched.filter("fresh > 0"), F.concat_ws(":", F.lit("bevakad"), "kind", "ref"), "bevakad", epoch_seconds(F.col("last_seen")))
+
+
+def pending_items(waiting: DataFrame, kind: str, place: int, decisions: DataFrame | None = None) -> DataFrame:
+    """The pinned row of suggestions (ref) without a decision (ref, decision), if there are any: actors 0, marks 1, pictures 2, texts 3."""
+    review = {"förslag-aktör": "actors", "förslag-märke": "marks", "förslag-bild": "photos", "förslag-text": "texts"}[kind]
+    # A decision taken back is blank and counts as none.
+    rest = waiting if decisions is None else waiting.join(decisions.filter("decision <> ''").select("ref").distinct(), "ref", "left_anti")
+    return _items(rest.agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), F.lit(f"review:{review}"), kind, F.lit(PINNED - place))
+
+
+def pinned_in_turn(rows: DataFrame, prefix: str, kind: str, after: int, most: int = V.FEED_ROWS) -> DataFrame:
+    """Pinned items (key, turn) one below the other; more than the feed shows are not numbered, for they'd come below its end."""
+    first = rows.orderBy("turn", "key").limit(most)
+    nth = F.row_number().over(Window.orderBy("turn", "key")) - 1  # of at most the feed's rows
+    return _items(first.withColumn("nth", nth), F.concat(F.lit(prefix), "key"), kind, F.lit(PINNED - after) - F.col("nth"))
+
+
+def place_items(reports: DataFrame, elevated: DataFrame, plates: DataFrame, named: DataFrame | None = None, running: int = 0, most: int = V.FEED_ROWS) -> DataFrame:
+    """Pinned items of grid places with an elevated report or a whole plate that have no name and weren't asked for (place).
+
+    In the order of their first such report; ``running`` rows of analyses come before.
+    """
+    place = trimmed(F.coalesce("plats", F.lit("")))
+    at_grid = reports.select("file", "tnr", "tidpunkt", place.alias("key")).filter(F.regexp_replace("key", r"\s+", "").rlike(r"^\d{1,2}[C-X][A-Z][A-Z]\d+$"))
+    relevant = elevated.select("file").unionByName(plates.filter(~F.col("partial")).select("file")).distinct()
+    first = at_grid.join(relevant, "file", "left_semi").groupBy("key").agg(F.min(F.struct("tidpunkt", "tnr", "file")).alias("turn"))
+    if named is not None:
+        first = first.join(named.select(F.col("place").alias("key")).distinct(), "key", "left_anti")
+    return pinned_in_turn(first, "review:place:", "namnge-plats", PINNED_KINDS + running, most)
+
+
 def alarm_rows(elevated: DataFrame) -> DataFrame:
     """(note, level phrases): what the feed shows of an alarm."""
     return elevated.select(stem_of(F.col("file")).alias("note"), F.array_join(reason_phrases(F.col("reasons")), ", ").alias("phrases"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,19 +224,38 @@ def q_alerts_new(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_feed(spark: SparkSession, d: str) -> DataFrame:
-    items = feeds.report_items(reports_of(spark, d), elevated_of(spark, d))
-    return feeds.feed(items.withColumn("seq", -F.crc32("path"))).select("path", "kind", "time")
-
-
-def q_watch(spark: SparkSession, d: str) -> DataFrame:
+    """The feed without any decision taken: so nothing is confirmed, and all suggestions wait."""
+    ensure_checkpoint_dir(spark)
+    reports = reports_of(spark, d)
+    hot, plates, marked = [x.checkpoint() for x in (elevated_of(spark, d).select("file"), identifiers.plates(reports, *vehicles.TOLD), marks.marks(reports))]
+    seen = vehicles.observed(plates)
+    known = vehicles.entities(seen).checkpoint()
+    sighted = actors.facets(seen, marks.members(marked)).checkpoint()
+    found = actors.actors(sighted, actors.label_components(actors.edges(sighted)))
+    items = [
+        feeds.report_items(reports, hot),
+        feeds.vehicle_items(known),
+        feeds.watch_items(_watched(spark, known)),
+        feeds.pending_items(found.select(F.col("id").alias("ref")), "förslag-aktör", 0),
+        feeds.pending_items(marks.nominations(marked).select(F.col("signature").alias("ref")), "förslag-märke", 1),
+        feeds.place_items(reports, hot, plates),
+    ]
+    every = reduce(DataFrame.unionByName, items)
+    return feeds.feed(every.withColumn("seq", -F.crc32("path"))).select("path", "kind", "time")
+
+
+def _watched(spark: SparkSession, known: DataFrame) -> DataFrame:
     """Vehicles seen three times or more, watched since their second sighting, and one never seen."""
-    known = vehicles_of(spark, d)
     states = known.select(F.lit("fordon").alias("kind"), F.col("canonical").alias("ref"), "count", "last_seen")
     watched = known.filter("count >= 3").select(F.lit("fordon").alias("kind"), F.col("canonical").alias("ref"), F.lit(2).alias("baseline"))
     never = spark.range(1).select(F.lit("fordon").alias("kind"), F.lit("ZZZ00Z").alias("ref"), F.lit(-1).alias("baseline"))
     return feeds.watch(watched.unionByName(never), states)
 
 
+def q_watch(spark: SparkSession, d: str) -> DataFrame:
+    return _watched(spark, vehicles_of(spark, d))
+
+
 def q_mojibake(spark: SparkSession, d: str) -> DataFrame:
     reports = reports_of(spark, d)
     return reports.filter(F.col("plats").contains("Ã") | F.col("handelse").contains("Ã")).select("file", text.repaired(F.col("plats")).alias("plats"), text.repaired(F.col("handelse")).alias("handelse"))

@@ -8,7 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from beaconry.operators import evaluation
+from beaconry.operators import evaluation, feeds
 from beaconry.plans import core, questions
 from beaconry.sources import models, notes, reports_md
 from beaconry.streaming import pipeline, replay
@@ -179,6 +179,30 @@ def test_new_alerts_of_all_kinds(spark, tmp_path):
     assert sorted((r.key, r.rank) for r in core.q_alerts_new(spark, every).collect()) == expected
 
 
+def test_feed_has_what_waits_and_what_was_found(spark):
+    rows = [(f"r{i}", f"0409{i:02}", f"2018-06-04T09:{i:02}:00", p) for i, p in enumerate(["33VXF 66651 79308", "Berga", "33VXF11112222", "33VXF33334444", None])]
+    reports = spark.createDataFrame(rows, "file string, tnr string, tidpunkt string, plats string")
+    hot = spark.createDataFrame([("r2",), ("r1",)], "file string")
+    plates = spark.createDataFrame([("r0", "ABC123", False), ("r3", "A.C123", True)], "file string, plate string, partial boolean")
+    named = spark.createDataFrame([("33VXF11112222",)], "place string")
+    places = lambda **more: [(r.path, r.kind, feeds.PINNED - r.time) for r in feeds.place_items(reports, hot, plates, **more).orderBy(F.desc("time")).collect()]
+    assert places() == [("review:place:33VXF 66651 79308", "namnge-plats", 4), ("review:place:33VXF11112222", "namnge-plats", 5)]
+    assert places(named=named, running=1) == [("review:place:33VXF 66651 79308", "namnge-plats", 5)]
+    told = spark.createDataFrame([("a", "2018-06-04T09:00:00"), ("b:c", "")], "ref string, last_seen string")
+    decided = spark.createDataFrame([("b:c", "confirmed")], "ref string, decision string")
+    assert [(r.path, r.time) for r in feeds.confirmed_items(told, decided, "aktör").collect()] == [("b_c.md", 0)]
+    pending = lambda *x: [(r.path, r.kind, feeds.PINNED - r.time) for r in feeds.pending_items(told, "förslag-märke", 1, *x).collect()]
+    assert pending() == pending(decided) == [("review:marks", "förslag-märke", 1)]
+    assert pending(told.select("ref", F.lit("rejected").alias("decision"))) == []
+    top = core.q_feed(spark, SMALL).collect()
+    assert len(top) == 60 and [r.path for r in top[:2]] == ["review:actors", "review:marks"] and [feeds.PINNED - r.time for r in top[2:5]] == [4, 5, 6]
+    assert top[2].kind == "namnge-plats"
+    seen = spark.createDataFrame([("A.C 1", "1970-01-01T00:01:00")], "canonical string, last_seen string")
+    assert [(r.path, r.kind, r.time) for r in feeds.vehicle_items(seen).collect()] == [("A_C_1.md", "fordon", 60)]
+    watched = spark.createDataFrame([("fordon", "A", "1970-01-01T00:01:00", 2), ("fordon", "B", "", 0)], "kind string, ref string, last_seen string, fresh int")
+    assert [(r.path, r.kind, r.time) for r in feeds.watch_items(watched).collect()] == [("bevakad:fordon:A", "bevakad", 60)]
+
+
 def test_core_runs_without_the_training_data_part():
     code = "import sys; sys.modules['beaconry.llm'] = None\nimport __spark_entry__ as e\nassert 'p1_found' in e.queries() and not any(k.startswith('p2') for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
