@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
-def survivors(merges: DataFrame, most: int = 64) -> DataFrame:
+def survivors(merges: DataFrame) -> DataFrame:
     """(absorbed, survivor) with every chain followed to its end.
 
     A chain that runs into a cycle stops at the last id before one comes again, so
     an id on a cycle that leads back to itself stands for itself. Each round follows
-    one step for all ids at once; the decisions are few, chains are short.
+    one step for all ids at once until no chain goes on, which must come, for no id
+    comes twice in a path; the decisions are few, chains are short.
     """
     ensure_checkpoint_dir(merges.sparkSession)
     step = merges.filter(F.col("absorbed").isNotNull() & F.col("survivor").isNotNull()).groupBy("absorbed").agg(F.max("survivor").alias("next"))
     state = step.select("absorbed", F.array("absorbed").alias("path"), F.lit(True).alias("open"))
     following = step.select(F.col("absorbed").alias("last"), "next")
-    for _ in range(most):
+    while True:
         told = state.withColumn("last", F.element_at("path", -1)).join(following, "last", "left")
         goes = F.col("open") & F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
         state = told.select("absorbed", F.when(goes, F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path"), goes.alias("open")).checkpoint()

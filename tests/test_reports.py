@@ -122,3 +122,8 @@ def test_text_functions(spark):
     ).first()
     assert (row.hash, row.read, row.same, row.key, row.level, row.number) == ("3772q3", "ABC123", True, "märke ryggsäck röd", "Förhöjd", "040905")
     assert (row.mended, row.half, row.link) == ("Höglandet  5", -2, "plate-partial")
+
+
+def test_long_merge_chains_reach_their_end(spark):
+    merged = spark.createDataFrame([(f"i{k:03}", f"i{k + 1:03}") for k in range(70)], "absorbed string, survivor string")
+    assert {r.survivor for r in merges.survivors(merged).collect()} == {"i070"}
