@@ -5,7 +5,10 @@ had arrived when the period was first published; cells 1 up to the cut-off are
 later arrival periods, each of which publishes a corrected revision; later cells
 are closed. The triangle is aggregated per cell first (partial counts before the
 shuffle, so one hot hour costs no more than its few cells) and a window then sums
-the cells of a period over arrivals.
+the cells of a period over arrivals. Rows are traced to the revisions they make by
+joining them with the triangle, which is small beside them: it is written once and
+broadcast while its count allows, else joined by a shuffle whose hot cells adaptive
+execution splits.
 
 Defined cases: a row whose event or arrival time is missing or unreadable is in
 no cell; copies count each by itself; an arrival before its own period lies in
@@ -19,10 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import epoch_seconds, hour_label
+from ..session import stored
 
 PERIOD_S = 3600
 PUBLISH_AFTER_S = 15 * 60
 CUT_OFF_S = 48 * 3600
+#: Revisions up to this many are broadcast, at some 40 bytes each.
+BROADCAST_REVISIONS = 500_000
 
 
 def arrival_cell(event: Column, arrival: Column, publish_after: int = PUBLISH_AFTER_S, arrival_period: int = PUBLISH_AFTER_S) -> Column:
@@ -56,6 +62,15 @@ def triangle(df: DataFrame, event: str = "tidpunkt", arrival: str = "signal_tidp
     return cells.withColumn("total", F.sum("arrived").over(so_far))
 
 
+def revisions(cells: DataFrame) -> DataFrame:
+    """The corrected publications of a ``triangle``: (period, cell, total, was) where the count published before was another."""
+    before = F.lag("total", 1, 0).over(Window.partitionBy("period").orderBy("cell"))
+    return cells.withColumn("was", before).filter((F.col("cell") >= 1) & (F.col("total") != F.col("was"))).select("period", "cell", "total", "was")
+
+
 def corrections(df: DataFrame, key: str = "file", event: str = "tidpunkt", arrival: str = "signal_tidpunkt") -> DataFrame:
     """The rows that make a revision after the first publication: (period, key)."""
-    return place(df, event, arrival, (key,)).filter(F.col("cell") >= 1).select("period", key)
+    made = stored(revisions(triangle(df, event, arrival))).select("period", "cell")
+    if made.count() <= BROADCAST_REVISIONS:
+        made = F.broadcast(made)
+    return place(df, event, arrival, (key,)).join(made, ["period", "cell"], "left_semi").select("period", key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,6 +56,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "beaconry-checkpoints"))
 
 
+class Stored:
+    """A table written to the shared checkpoint folder, to be read several times or to cut lineage.
+
+    ``df`` reads it back, so its size is known to the planner and both sides of a join
+    on it start at an exchange, which adaptive execution can split. ``drop`` removes it
+    once nothing reads it any more.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        ensure_checkpoint_dir(self.spark)
+        self.path = f"{self.spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a ``Stored`` table that stays."""
+    return Stored(df).df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once per context."""
     context = spark.sparkContext
