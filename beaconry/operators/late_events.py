@@ -27,7 +27,7 @@ from ..session import stored
 PERIOD_S = 3600
 PUBLISH_AFTER_S = 15 * 60
 CUT_OFF_S = 48 * 3600
-#: Revisions up to this many are broadcast, at some 40 bytes each.
+#: Revisions up to this many are broadcast, at some 20 bytes each.
 BROADCAST_REVISIONS = 500_000
 
 
@@ -45,32 +45,48 @@ def closed_from(publish_after: int = PUBLISH_AFTER_S, cut_off: int = CUT_OFF_S,
     return cells + 1
 
 
-def place(df: DataFrame, event: str = "tidpunkt", arrival: str = "signal_tidpunkt", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each readable row with its period and cell, beyond-cut-off rows left out: (*keep, period, cell)."""
+def _placed(df: DataFrame, event: str, arrival: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``place`` with the period as its number of hours since 1970: (*keep, hour, cell)."""
     return (
         df.select(*keep, epoch_seconds(F.col(event)).alias("__event"), epoch_seconds(F.col(arrival)).alias("__arrival"))
         .filter(F.col("__event").isNotNull() & F.col("__arrival").isNotNull())
-        .select(*keep, hour_label(F.col("__event")).alias("period"), arrival_cell(F.col("__event"), F.col("__arrival")).alias("cell"))
+        .select(*keep, F.floor(F.col("__event") / PERIOD_S).alias("hour"), arrival_cell(F.col("__event"), F.col("__arrival")).alias("cell"))
         .filter(F.col("cell") < closed_from())
     )
 
 
+def _label() -> Column:
+    return hour_label(F.col("hour") * PERIOD_S).alias("period")
+
+
+def place(df: DataFrame, event: str = "tidpunkt", arrival: str = "signal_tidpunkt", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each readable row with its period and cell, beyond-cut-off rows left out: (*keep, period, cell)."""
+    return _placed(df, event, arrival, keep).select(*keep, _label(), "cell")
+
+
+def _cells(df: DataFrame, event: str, arrival: str) -> DataFrame:
+    """(hour, cell, arrived, total): the triangle, counted per cell and summed over arrivals."""
+    cells = _placed(df, event, arrival).groupBy("hour", "cell").agg(F.count(F.lit(1)).alias("arrived"))
+    so_far = Window.partitionBy("hour").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.withColumn("total", F.sum("arrived").over(so_far))
+
+
 def triangle(df: DataFrame, event: str = "tidpunkt", arrival: str = "signal_tidpunkt") -> DataFrame:
     """Every revision of every period: (period, cell, arrived, total), total being the count published then."""
-    cells = place(df, event, arrival).groupBy("period", "cell").agg(F.count(F.lit(1)).alias("arrived"))
-    so_far = Window.partitionBy("period").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    return cells.withColumn("total", F.sum("arrived").over(so_far))
+    return _cells(df, event, arrival).select(_label(), "cell", "arrived", "total")
 
 
-def revisions(cells: DataFrame) -> DataFrame:
+def revisions(cells: DataFrame, period: str = "period") -> DataFrame:
     """The corrected publications of a ``triangle``: (period, cell, total, was) where the count published before was another."""
-    before = F.lag("total", 1, 0).over(Window.partitionBy("period").orderBy("cell"))
-    return cells.withColumn("was", before).filter((F.col("cell") >= 1) & (F.col("total") != F.col("was"))).select("period", "cell", "total", "was")
+    before = F.lag("total", 1, 0).over(Window.partitionBy(period).orderBy("cell"))
+    return cells.withColumn("was", before).filter((F.col("cell") >= 1) & (F.col("total") != F.col("was"))).select(period, "cell", "total", "was")
 
 
 def corrections(df: DataFrame, key: str = "file", event: str = "tidpunkt", arrival: str = "signal_tidpunkt") -> DataFrame:
     """The rows that make a revision after the first publication: (period, key)."""
-    made = stored(revisions(triangle(df, event, arrival))).select("period", "cell")
+    # One number stands for period and cell: half the size of both to broadcast.
+    publication = (F.col("hour") * closed_from() + F.col("cell")).alias("publication")
+    made = stored(revisions(_cells(df, event, arrival), "hour").select(publication))
     if made.count() <= BROADCAST_REVISIONS:
         made = F.broadcast(made)
-    return place(df, event, arrival, (key,)).join(made, ["period", "cell"], "left_semi").select("period", key)
+    return _placed(df, event, arrival, (key,)).select(key, "hour", publication).join(made, "publication", "left_semi").select(_label(), key)

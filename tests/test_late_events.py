@@ -55,3 +55,19 @@ def test_same_as_brute_force(spark, pairs):
 
 def test_hour_label_before_1970(spark):
     assert spark.range(1).select(hour_label(F.lit(-1)).alias("h")).first().h == "1969-12-31T23"
+
+
+def test_rows_come_through_the_revisions(spark, monkeypatch):
+    rows = [(f"f{i}", "2018-06-04T08:00:00", f"2018-06-04T09:{10 + i:02}:00", 0, "") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = late_events.revisions(late_events.triangle(df)).orderBy("cell").collect()
+    assert [(r.cell, r.was, r.total) for r in made] == [(1, 5, 20), (2, 20, 35), (3, 35, 40)]
+    want = {f"f{i}" for i in range(5, 40)}
+    assert {r.file for r in late_events.corrections(df).collect()} == want
+    monkeypatch.setattr(late_events, "BROADCAST_REVISIONS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = late_events.corrections(df)
+        assert {r.file for r in found.collect()} == want and "SortMergeJoin" in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
