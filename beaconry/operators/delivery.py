@@ -5,6 +5,10 @@ arrival with the file name breaking ties, and the first is kept. Ranking runs in
 two steps, per (identifier, salt) and then among the salts' winners, so that an
 identifier holding a third of all rows is never sorted by one task.
 
+The patterns that read identifiers run once: what they give is written as a narrow
+table. Only messages of a sender and second that some row lost its id in are
+looked up for such rows.
+
 Defined cases: a row with neither a long id, nor a running number with a sender,
 nor a sender and instant that a identified message also has, is a message of its
 own; null, empty, dash and otherwise unreadable ids are lost ids; a missing
@@ -18,8 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import epoch_seconds
+from ..session import stored
 
 SALTS = 64
+#: Senders' seconds with lost ids are broadcast up to this many, at some 100 bytes each.
+BROADCAST_INSTANTS = 200_000
 
 
 def bare(text: Column) -> Column:
@@ -73,15 +80,21 @@ def identified(df: DataFrame, batch: str | None = None) -> DataFrame:
     With a column ``batch``, batches come one after the other whatever their arrival times.
     """
     carried = [batch] if batch else []
-    base = _keys(df, *carried)
+    base = stored(_keys(df, *carried))
+    lost = base.filter("lost")
+    asked = lost.select("sender", "sent").distinct()
+    few = asked.count() <= BROADCAST_INSTANTS
     order = ["received_at", "message"] if not batch else [F.col(batch).isNull().alias("unnumbered"), batch, F.col("received_at").isNull().alias("untimed"), "received_at", "message"]
     # The earliest message a sender sent in a second answers for rows that lost their id.
     known = (
         base.filter(F.col("message").isNotNull() & F.col("sender").isNotNull() & F.col("sent").isNotNull())
+        .join(F.broadcast(asked) if few else asked, ["sender", "sent"], "left_semi")
         .groupBy("sender", "sent")
         .agg(F.min(F.struct(*order)).getField("message").alias("by_instant"))
     )
-    found = base.filter("lost").join(known, ["sender", "sent"], "left").select("file", "received_at", *carried, F.coalesce("by_instant", _own_key()).alias("message"))
+    # Not more than were asked for; a stored table starts its side of the join, so that a hot second is split.
+    known = F.broadcast(known) if few else stored(known)
+    found = lost.join(known, ["sender", "sent"], "left").select("file", "received_at", *carried, F.coalesce("by_instant", _own_key()).alias("message"))
     return base.filter(~F.col("lost")).select("file", "received_at", *carried, "message").unionByName(found)
 
 
