@@ -388,6 +388,12 @@ a AS (SELECT file, received_at, CASE WHEN msg IS NOT NULL OR num IS NOT NULL THE
   WHEN s IS NOT NULL AND sent IS NOT NULL THEN coalesce(fm, 's:' || s || ':' || sent) END AS message FROM m LEFT JOIN f ON fs = s AND fsent = sent),
 r AS (SELECT file, message, row_number() OVER (PARTITION BY message ORDER BY received_at NULLS LAST, file NULLS LAST) AS n FROM a)
 """
+#: The same with batches before arrival times.
+_STORED = (
+    _MESSAGES.replace("SELECT file, received_at", "SELECT file, batch_no, received_at")
+    .replace("arg_min(msg, (received_at, msg))", "arg_min(msg, (batch_no IS NULL, coalesce(batch_no, 0), received_at IS NULL, coalesce(received_at, TIMESTAMP '1970-01-01'), msg))")
+    .replace("SELECT file, message, row_number() OVER (PARTITION BY message ORDER BY", "SELECT file, message, batch_no, row_number() OVER (PARTITION BY message ORDER BY batch_no NULLS LAST,")
+)
 
 
 def queries() -> dict[str, Query]:
@@ -462,6 +468,7 @@ def oracle_sql() -> dict[str, str]:
         + """SELECT period, cell, count(*) AS arrived, CAST(sum(count(*)) OVER (PARTITION BY period ORDER BY cell) AS BIGINT) AS total
 FROM c WHERE cell < 192 GROUP BY period, cell""",
         "p4_found": _MESSAGES + "SELECT file FROM r WHERE message IS NOT NULL AND n > 1",
+        "p4_new_messages": _STORED + "SELECT file, message, batch_no FROM r WHERE message IS NULL OR n = 1",
         "p6_found": f"""SELECT r.file, p.seq FROM (SELECT file, lat, lon FROM reports WHERE {checking.VALID}) r
 JOIN (SELECT * FROM predefined_places WHERE {checking.VALID}) p ON {checking.distance("r", "p")} <= p.radius_m""",
         "identifiers": sql("SELECT file, type, value, partial FROM ids", "ids"),
