@@ -10,8 +10,12 @@ Work is bounded on both sides without losing a pair: a pair can only reach
 ``min_together`` and ``min_lift`` if each item occurs at least ``min_together``
 times and in at most N / ``min_lift`` records, since n(a,b) <= min(n(a), n(b)).
 Items seen in a large share of all records therefore leave before any product.
-A basket of any size is spread over all pairs of item blocks, whose number grows with
-the largest basket, and a product is made in chunks of bounded size.
+A basket of any size is spread over all pairs of item blocks, and a product is made in
+chunks of bounded size. Only records too large for the usual item blocks get more of
+them, as many as the largest needs; the other records keep theirs.
+
+Inside the products records and items are 64-bit hashes. That no two items, and no two
+records, share one is checked over all of them; if any did, another seed is taken.
 
 Defined cases: null records or items are no occurrence; an item twice in a record
 counts once; a pair is reported with the smaller item first (binary order); empty
@@ -20,6 +24,7 @@ baskets and empty inputs give nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -27,11 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, stored
 
-#: Least item blocks; a task multiplies two of them.
+#: Item blocks of usual records; a task multiplies two of them.
 ITEM_BLOCKS = 4
-#: Items that one basket may have in a block; larger baskets raise the number of blocks.
+#: Items that one basket may have in a block; records with more get more blocks.
 BASKET_IN_BLOCK = 10_000
 #: Occurrences that one record block should hold.
 BLOCK_OCCURRENCES = 40_000
@@ -39,11 +44,16 @@ BLOCK_OCCURRENCES = 40_000
 CHUNK = 1_000_000
 
 
-def occurrences(facets: DataFrame, steps: DataFrame) -> DataFrame:
-    """Distinct (record, item) of the facets' files and the messages' facets."""
+def sightings(facets: DataFrame, steps: DataFrame) -> DataFrame:
+    """(record, item) of the facets' files and the messages' facets, some of them several times."""
     seen = facets.select(F.explode("files").alias("record"), F.col("facet_id").alias("item"))
     tied = steps.select(F.col("file").alias("record"), F.explode("facets").alias("item"))
-    return seen.unionByName(tied).filter(F.col("record").isNotNull() & F.col("item").isNotNull()).distinct()
+    return seen.unionByName(tied).filter(F.col("record").isNotNull() & F.col("item").isNotNull())
+
+
+def occurrences(facets: DataFrame, steps: DataFrame) -> DataFrame:
+    """Distinct ``sightings``."""
+    return sightings(facets, steps).distinct()
 
 
 def gram_block(records: np.ndarray, left: np.ndarray, other_records: np.ndarray, right: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +94,12 @@ def _products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     if i == j:
         upper = left < right  # a block with itself has every pair twice, and the diagonal
         left, right, counts = left[upper], right[upper], counts[upper]
-    return pd.DataFrame({"a": left, "b": right, "n": counts})
+    # The smaller first, whichever blocks they lie in, for records of other block numbers count the same pairs.
+    return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right), "n": counts})
 
 
-def gram(incidence: DataFrame, record_blocks: int, item_blocks: int = ITEM_BLOCKS) -> DataFrame:
-    """Counts of all pairs of items (numbers): (a, b, n)."""
+def products(incidence: DataFrame, record_blocks: int, item_blocks: int) -> DataFrame:
+    """Counts of pairs of items (numbers) per record block: (a, b, n)."""
     ship_package(incidence.sparkSession)
     block = F.pmod(F.hash("item"), F.lit(item_blocks))
     pairs = F.transform(
@@ -97,21 +108,49 @@ def gram(incidence: DataFrame, record_blocks: int, item_blocks: int = ITEM_BLOCK
     placed = incidence.select(
         "record", "item", block.alias("block"), F.pmod(F.xxhash64("record"), F.lit(record_blocks)).alias("records"), F.explode(pairs).alias("p")
     ).select("record", "item", "block", "records", "p.i", "p.j")
-    partial = placed.groupBy("records", "i", "j").applyInPandas(_products, "a long, b long, n long")
+    return placed.groupBy("records", "i", "j").applyInPandas(_products, "a long, b long, n long")
+
+
+def gram(incidence: DataFrame) -> DataFrame:
+    """Counts of all pairs of items (numbers) of distinct (record, item): (a, b, n)."""
+    sizes = incidence.groupBy("record").agg(F.count(F.lit(1)).alias("n"))
+    usual = BASKET_IN_BLOCK * ITEM_BLOCKS
+    own = F.when(F.col("n") <= usual, F.col("n"))
+    told = sizes.agg(F.sum(own).alias("usual"), F.sum("n").alias("all"), F.max("n").alias("largest")).first()
+    blocks = lambda n: max(1, math.ceil((n or 0) / BLOCK_OCCURRENCES))
+    if (told["largest"] or 0) <= usual:
+        partial = products(incidence, blocks(told["all"]), ITEM_BLOCKS)
+    else:
+        large = stored(sizes.filter(F.col("n") > usual).select("record"))
+        partial = products(incidence.join(large, "record", "left_anti"), blocks(told["usual"]), ITEM_BLOCKS).unionByName(
+            products(incidence.join(large, "record", "left_semi"), blocks(told["all"] - (told["usual"] or 0)), math.ceil(told["largest"] / BASKET_IN_BLOCK))
+        )
     return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _code(column: str, seed: int):
+    return F.xxhash64(F.lit(seed), F.col(column))
+
+
+def _seed(names: DataFrame, column: str) -> tuple[int, int]:
+    """How many different names there are, and the first seed under which no two share a hash."""
+    for seed in itertools.count():
+        n, codes = names.agg(F.count(F.lit(1)), F.countDistinct(_code(column, seed))).first()
+        if n == codes:
+            return n, seed
+
+
 def together(baskets: DataFrame, min_together: int = 5, min_lift: float = 5) -> DataFrame:
-    """Pairs of ``baskets`` (record, item), both distinct: (item_a, item_b, n, n_a, n_b, lift)."""
-    numbered = baskets.withColumns({"record": F.xxhash64("record"), "code": F.xxhash64("item")})
-    total = baskets.select("record").distinct().count()
-    sums = numbered.groupBy("code").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("n"))
-    able = sums.filter((F.col("n") >= min_together) & (F.col("n") * F.lit(float(min_lift)) <= total))
+    """Pairs of ``baskets`` (record, item), which may be repeated: (item_a, item_b, n, n_a, n_b, lift)."""
+    names = stored(baskets.select("item").distinct())
+    _, item_seed = _seed(names, "item")
+    total, record_seed = _seed(baskets.select("record").distinct(), "record")
+    numbered = stored(baskets.select(_code("record", record_seed).alias("record"), _code("item", item_seed).alias("code")).distinct())
+    sums = numbered.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    kept = sums.filter((F.col("n") >= min_together) & (F.col("n") * F.lit(float(min_lift)) <= total))
+    able = stored(names.withColumn("code", _code("item", item_seed)).join(kept, "code"))
     incidence = numbered.join(able.select("code"), "code").select("record", F.col("code").alias("item"))
-    sizes = incidence.groupBy("record").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("largest")).first()
-    record_blocks = max(1, math.ceil((sizes["all"] or 0) / BLOCK_OCCURRENCES))
-    item_blocks = max(ITEM_BLOCKS, math.ceil((sizes["largest"] or 0) / BASKET_IN_BLOCK))
-    counts = gram(incidence, record_blocks, item_blocks).filter(F.col("n") >= min_together)
+    counts = gram(incidence).filter(F.col("n") >= min_together)
     a = able.select(F.col("code").alias("a"), F.col("item").alias("x"), F.col("n").alias("n_x"))
     b = able.select(F.col("code").alias("b"), F.col("item").alias("y"), F.col("n").alias("n_y"))
     first = F.col("x") < F.col("y")

@@ -26,12 +26,12 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    baskets = cooccurrence.occurrences(read_table(spark, d, "facets"), read_table(spark, d, "chain_steps"))
+    baskets = cooccurrence.sightings(read_table(spark, d, "facets"), read_table(spark, d, "chain_steps"))
     return cooccurrence.together(baskets).select(F.col("item_a").alias("facet_a"), F.col("item_b").alias("facet_b"))
 
 
 def p3_lift(spark: SparkSession, d: str) -> DataFrame:
-    baskets = cooccurrence.occurrences(read_table(spark, d, "facets"), read_table(spark, d, "chain_steps"))
+    baskets = cooccurrence.sightings(read_table(spark, d, "facets"), read_table(spark, d, "chain_steps"))
     return cooccurrence.together(baskets).select("item_a", "item_b", "n", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
