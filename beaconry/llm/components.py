@@ -5,11 +5,11 @@ Connected Components in MapReduce and Beyond, SoCC 2014). A large-star links eac
 node's larger neighbours to the smallest node it sees, a small-star its smaller
 ones; repeated until nothing changes, every node hangs on its component's minimum.
 
-Every round is a grouped minimum (partial before the shuffle, so a node with a
-third of all edges sends one row per task) and a join of the edges with it, whose
-one side is unique per node; adaptive execution splits a hot node's edges. A round
-ends in a reliable checkpoint, so a lost executor costs no recomputation of
-earlier rounds.
+A star is a grouped minimum (partial before the shuffle, so a node with a third of
+all edges sends one row per task) and a join of the edges with it. The minima are
+written as a table of their own, so that both sides of the join start at an exchange
+and adaptive execution can split a hot node's edges. What a round leaves is written
+too, so a lost executor costs no earlier round; tables of earlier rounds are removed.
 
 Defined cases: null ends, self-pairs and pairs below the weight are no link; pairs
 may come repeatedly and in either direction; records without a link are not in the
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import Stored
 
 MAX_ROUNDS = 100
 
@@ -36,36 +36,47 @@ def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def large_star(pairs: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to the smallest of it and its neighbours."""
-    around = _both(pairs)
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def minima(around: DataFrame) -> DataFrame:
+    """(u, m): the smallest of each node and its neighbours."""
+    return around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
+
+def rewired(around: DataFrame, least: DataFrame) -> DataFrame:
+    """Large-star on edges seen from both ends: larger neighbours linked to the minimum of ``least``."""
     return around.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(pairs: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are linked to the smallest of these."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+def hung(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """Small-star on edges seen from the larger end: smaller neighbours, and the node itself, linked to the minimum of ``least``."""
     moved = pairs.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _starred(edges: DataFrame, star) -> Stored:
+    least = Stored(minima(edges))
+    after = Stored(star(edges, least.df))
+    least.drop()
+    return after
+
+
 def _print_of(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """Groups of ``links``: (node, root), root being the smallest node (binary order) of the group."""
-    ensure_checkpoint_dir(pairs.sparkSession)
-    pairs = pairs.checkpoint()
-    before = _print_of(pairs)
+    now = Stored(pairs)
+    before = _print_of(now.df)
     for _ in range(MAX_ROUNDS):
-        pairs = small_star(large_star(pairs)).checkpoint()
-        after = _print_of(pairs)
+        large = _starred(_both(now.df), rewired)
+        now.drop()
+        now = _starred(large.df, hung)
+        large.drop()
+        after = _print_of(now.df)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
-    roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    roots = now.df.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
