@@ -4,9 +4,9 @@ Each document gets about thirty figures in one pass over its whole text: words,
 symbols, lines, common words, repetition, and the shares of its characters that
 lie in list items, rows of columns and noise. Boosted trees are trained on a
 bounded sample of documents whose figures leave no doubt (the weak labels, four
-classes), one tree model per class; their margins are calibrated on texts of known
-shape that are never trained on (``holdout.py``), and the most probable class is
-the document's shape.
+classes), one tree model per class; their margins are calibrated on hand-written
+texts of known shape that are never trained on (HOLDOUT of ``holdout.py``; TRIAL, a
+further set, tests the result), and the most probable class is the document's shape.
 
 The figures are computed once, without a shuffle, and written to the checkpoint
 folder (about 0.3 KB a document). The sample is at most ``SAMPLE`` rows a class,
