@@ -1,8 +1,13 @@
+import os
 import random
+import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from beaconry.llm import canonical, components, cooccurrence, leakage
+from beaconry.session import ensure_checkpoint_dir, stored
 
 CATALOGUE = "ref_id int, label string, object string, aliases array<string>, colour string, detail string, phrase string"
 LISTED = [
@@ -131,3 +136,99 @@ def test_damaged_letters_do_not_hide_a_leak(spark):
     docs[2] = (3, docs[2][1][:1] + docs[2][1][1:].replace("å v", "å v", 1))
     got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id int, text string")).collect()
     assert sorted(r.doc_id for r in got) == [1, 2, 3]
+
+
+def test_a_long_reference_list_is_joined_by_shuffles(spark, monkeypatch):
+    symbol = "röd ryggsäck med röda skosnören; blå ryggsäck. grå ryggsäck med gult snöre"
+    marks = [("f", "röd ryg", None), ("f", None, "gult grå ryggsäck snöre"), ("g", "blå rygga, gult snöre", None), ("g", "barnvagn", None), ("g", "tryckt trefot på röd trefot", None)]
+    few = assigned(spark, marks, [("f", symbol)])
+    monkeypatch.setattr(canonical, "BROADCAST_ENTRIES", 0)
+    assert assigned(spark, marks, [("f", symbol)]) == few == {0: 1, 1: 5, 2: 2, 3: -1, 4: 3}
+
+
+def test_terms_of_short_words_only(spark):
+    listed = spark.createDataFrame([(1, "x", "keps", None, "röd", "av en ko", ""), (2, "x", "keps", None, "röd", "ny ko", ""), (3, "x", "keps", None, "blå", "å", "")], CATALOGUE)
+    m = spark.createDataFrame([(i, "f", t, None) for i, t in enumerate(["röd keps med av en ko", "röd keps, ny ko", "blå keps å", "röd keps"])], "mark_id long, file string, label string, key string")
+    got = {x.mark_id: x.ref_id for x in canonical.assign(m, spark.createDataFrame([], "file string, symbol string"), listed).collect()}
+    assert got == {0: 1, 1: 2, 2: 3, 3: -1}
+
+
+def test_marks_without_words_take_what_no_other_was_taken_from(spark):
+    symbol = "röd ryggsäck med röda skosnören; blå ryggsäck med gult snöre"
+    got = assigned(spark, [("f", None, None), ("f", "blå ryggsäck med gult", None), ("g", "", None), ("h", None, None)], [("f", symbol), ("g", symbol), ("h", symbol + "; " + symbol)])
+    # In g and h two parts are as likely as each other, and they mean different entries.
+    assert got == {0: 1, 1: 2, 2: -1, 3: -1}
+    repeated = assigned(spark, [("f", None, None)], [("f", "röd ryggsäck med röda skosnören; RÖD ryggsäck (röda skosnören)")])
+    assert repeated == {0: 1}
+
+
+def test_hashes_that_meet_take_another_seed(spark, monkeypatch):
+    real = cooccurrence._code
+    monkeypatch.setattr(cooccurrence, "_code", lambda column, seed: F.lit(1).cast("long") if seed == 0 else real(column, seed))
+    baskets = {(f"b{i}", x) for i in range(6) for x in ("x", "y")} | {(f"c{i}", f"z{i}") for i in range(60)}
+    got = cooccurrence.together(spark.createDataFrame(sorted(baskets), "record string, item string")).collect()
+    assert [(r.item_a, r.item_b, r.n) for r in got] == [("x", "y", 6)]
+
+
+def test_only_large_records_get_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "BASKET_IN_BLOCK", 10)
+    blocks = []
+    real = cooccurrence.products
+    monkeypatch.setattr(cooccurrence, "products", lambda df, r, i: blocks.append((df.select("record").distinct().count(), i)) or real(df, r, i))
+    rows = [(1, x) for x in range(200)] + [(r, x) for r in range(2, 30) for x in range(3)]
+    got = {(r.a, r.b): r.n for r in cooccurrence.gram(spark.createDataFrame(rows, "record long, item long")).collect()}
+    assert blocks == [(28, 4), (1, 20)] and len(got) == 200 * 199 // 2 and got[(0, 1)] == 29 and got[(5, 9)] == 1
+
+
+def with_settings(spark, settings, run):
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        return run()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_a_hot_node_is_split(spark):
+    pairs = spark.range(60_000).select(F.concat(F.lit("n"), F.col("id")).alias("u"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("m"), F.col("id"))).alias("v"))
+    tiny = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def plan():
+        around = stored(components._both(pairs))
+        star = components.rewired(around, stored(components.minima(around)))
+        star.collect()
+        return star._jdf.queryExecution().executedPlan().toString()
+
+    assert "skew=true" in with_settings(spark, tiny, plan)
+
+
+def test_tables_of_earlier_rounds_are_removed(spark):
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    components.components(components.links(spark.createDataFrame([(f"a{i}", f"a{i + 1}", 2) for i in range(20)], "a string, b string, weight int"))).count()
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
+@pytest.mark.parametrize("words_in_row", [0, 20_000])
+def test_leaks_in_blocks_and_pieces(spark, monkeypatch, words_in_row):
+    monkeypatch.setattr(leakage, "IN_ROW_WORDS", words_in_row)
+    monkeypatch.setattr(leakage, "BROADCAST_RUNS", 3)
+    monkeypatch.setattr(leakage, "PIECE", 5)
+    pick = random.Random(7)
+    items = [(i, " ".join(pick.choice("abcdefgh") * pick.randint(1, 2) for _ in range(30))) for i in range(4)]
+    docs = [(i, " ".join(pick.choice("abcdefghx") for _ in range(pick.randint(0, 60)))) for i in range(40)]
+    for i in range(20):
+        words = items[i % 4][1].split()
+        at = pick.randint(0, 18)
+        docs.append((100 + i, docs[i][1] + " " + " ".join(words[at : at + pick.randint(11, 15)]) + " slut"))
+    runs = {i: {tuple(w[k : k + 13]) for k in range(len(w) - 12)} for i, w in ((i, t.split()) for i, t in items)}
+    want = sorted((d, i) for d, t in docs for i in runs if runs[i] & {tuple(t.split()[k : k + 13]) for k in range(len(t.split()) - 12)})
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert want and sorted((r.doc_id, r.item_id) for r in found.collect()) == want
+    # Neither texts nor their words are shuffled, only windows that match.
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert shuffled and not any(re.search(r"\b(w|text)#", x) for x in shuffled)

@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
 from beaconry.llm import boosting, byte_bpe, quality
-from beaconry.llm.holdout import HOLDOUT
+from beaconry.llm.holdout import HOLDOUT, STAND_IN, TRIAL
 
 tokenizers = pytest.importorskip("tokenizers")
 LIBRARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -74,11 +75,30 @@ def test_figures_of_odd_texts():
         assert len(quality.figures(text)) == len(quality.FIGURES) and all(np.isfinite(quality.figures(text)))
 
 
-def test_shapes_of_a_small_corpus(spark):
-    """Without a corpus to learn from, the stand-in texts must do; texts of the holdout are none of them."""
-    rows = [(i, t, "clash") for i, (t, _) in enumerate(HOLDOUT)] + [(900, None, ""), (901, "", ""), (902, " \n", ""), (0, HOLDOUT[0][0], "")]
-    got = [(r.doc_id, r.shape) for r in quality.shapes(spark.createDataFrame(rows, "doc_id long, text string, shape string")).collect()]
-    assert len(got) == len(HOLDOUT) + 1 and not {900, 901, 902} & {i for i, _ in got}
-    wrong = [(HOLDOUT[i][1], s, HOLDOUT[i][0][:60]) for i, s in got if HOLDOUT[i][1] != s]
-    assert len(wrong) <= 3, wrong
+def pieces_of(texts):
+    """The texts, their lines and their sentences."""
+    out = set()
+    for text, _ in texts:
+        out |= {x.strip().lower() for x in [text, *text.splitlines(), *re.split(r"[.!?]\s|\n", text)]}
+    return {x for x in out if sum(c.isalpha() for c in x) >= 2 and set(x) - set("|- ")}
+
+
+def test_no_text_is_in_two_sets():
+    sets = {"stand-in": STAND_IN, "holdout": HOLDOUT, "trial": TRIAL}
+    for a in sets:
+        for b in sets:
+            if a < b:
+                assert not pieces_of(sets[a]) & pieces_of(sets[b])
+                assert not [(x, y) for x, _ in sets[a] for y, _ in sets[b] if len(x) > 20 and x in y or len(y) > 20 and y in x]
+
+
+def test_trial_texts_are_told_and_calibrated(spark):
+    """Without a corpus to learn from, the stand-in texts must do."""
+    rows = [(i, t, "clash") for i, (t, _) in enumerate(TRIAL)] + [(900, None, ""), (901, "", ""), (902, " \n", ""), (0, TRIAL[0][0], "")]
+    got = [(r.doc_id, r.shape, r.probability) for r in quality.shapes(spark.createDataFrame(rows, "doc_id long, text string, shape string")).collect()]
+    assert len(got) == len(TRIAL) + 1 and not {900, 901, 902} & {i for i, _, _ in got}
+    wrong = [(TRIAL[i][1], s, TRIAL[i][0][:60]) for i, s, _ in got if TRIAL[i][1] != s]
+    error = abs(sum(p for _, _, p in got) / len(got) - (1 - len(wrong) / len(got)))
+    print("trial: wrong", len(wrong), "of", len(got), "calibration error", round(error, 3))
+    assert len(wrong) <= 2 and error <= 0.15, (wrong, error)
     assert quality.shapes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
