@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 #: What a readable time looks like once its separators are put in and its fraction is dropped.
 SHAPE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2})(?:Z|[+-]\d{2}(?::\d{2})?)$"
 
+#: The spelling of most times that name their zone.
+USUAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})$"
+
 
 def epoch_seconds(text: Column) -> Column:
     """Whole seconds since 1970 in UTC; null when the text is missing or names no real instant.
 
     A time without a zone is UTC. ``T`` may be lower case or a blank, and blanks
     around the text are ignored. A time without seconds has second 0. Every step
-    uses the one before it once, so that generated code stays small.
+    uses the one before it once, so that generated code stays small; the usual
+    spelling needs none of them.
     """
+    usual = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), F.concat(text, F.lit("Z"))).when(text.rlike(USUAL), text)
     value = F.upper(F.regexp_replace(text, r"^\s+|\s+$", ""))
     value = F.regexp_replace(value, r"^(\d{4})-?(\d{2})-?(\d{2})[T ](\d{2}):?(\d{2})", "$1-$2-$3T$4:$5")
     value = F.regexp_replace(value, r"(T\d{2}:\d{2}):?(\d{2})(?:[.,]\d*)?", "$1:$2")
     value = F.regexp_replace(value, r"\s*([+-]\d{2}):?(\d{2})$", "$1:$2")
     value = F.regexp_replace(value, r"(T[0-9:]+)$", "$1Z")
     value = F.regexp_replace(value, r"(T\d{2}:\d{2})(?=Z|[+-])", "$1:00")
-    return F.unix_seconds(F.regexp_extract(value, SHAPE, 0).try_cast("timestamp"))
+    return F.unix_seconds(F.coalesce(usual, F.regexp_extract(value, SHAPE, 0)).try_cast("timestamp"))
 
 
 def hour_label(seconds: Column) -> Column:
