@@ -65,6 +65,18 @@ def position(grid: Column) -> Column:
     return F.when(good, _geographic(zone, part(2) >= "N", easting, northing))
 
 
+def coordinate(text: Column) -> Column:
+    """(lat, lon) that a person typed or pasted: a pair, one after ``geo:`` or ``location:``, or a grid reference; else null."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    number = r"(-?\d+(?:\.\d+)?)"
+    shapes = (rf"geo:\s*{number}\s*,\s*{number}", rf'location:\s*"?{number}\s*,\s*{number}"?', rf"^{number}\s*,\s*{number}$")
+    pair = lambda i: F.coalesce(*[F.nullif(F.regexp_extract(bare, s, i), F.lit("")) for s in shapes]).try_cast("double")
+    at = position(bare)
+    return F.when(pair(1).isNotNull() & pair(2).isNotNull(), F.struct(pair(1).alias("lat"), pair(2).alias("lon"))).otherwise(
+        F.transform(F.array(at), lambda p: F.when(p.isNotNull(), F.struct(half_up(p["lat"], 5).alias("lat"), half_up(p["lon"], 5).alias("lon"))))[0]
+    )
+
+
 def first_position(text: Column) -> Column:
     """(lat, lon), to five decimals, of the first grid reference in a text; no later one is tried."""
     found = position(F.nullif(F.regexp_extract(text, bounded(V.GRID), 0), F.lit("")))

@@ -31,12 +31,6 @@ def edged(words: tuple[str, ...]) -> str:
     return "|".join(map(one, words))
 
 
-def any_word(text: Column, words: list[str] | tuple[str, ...]) -> Column:
-    """Whether one of the words stands alone, Swedish letters counting as letters."""
-    choice = "|".join(map(re.escape, words))
-    return text.rlike(f"(?iu)(?<![{SWEDISH}])(?:{choice})(?![{SWEDISH}])")
-
-
 def quoted(text: str) -> str:
     """A string literal of SQL."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -119,9 +113,21 @@ def short_hash(text: Column) -> Column:
 
 
 def agent_name(display: Column, key: Column, most: int = 72) -> Column:
-    """A file name for an agent; a long one is cut and told apart by a hash of its key."""
-    safe = safe_name(display)
-    return F.when(F.length(safe) > most, F.concat(F.substring(safe, 1, most), F.lit("-"), F.substring(F.lpad(short_hash(key), 4, "0"), 1, 4))).otherwise(safe)
+    """A readable file name without its ending; a long one is cut and told apart by the last signs of a hash of its key."""
+    clean = trimmed(F.regexp_replace(F.regexp_replace(display, r'[\\/:*?"<>|#^\[\]]+', " "), r"\s+", " "))
+    mark = F.substring(F.lpad(short_hash(key), 4, "0"), -4, 4)
+    mark = F.when(F.length(short_hash(key)) > 4, F.substring(short_hash(key), -4, 4)).otherwise(mark)
+    return F.when(F.length(clean) > most, F.concat(trimmed(F.substring(clean, 1, most)), F.lit("… ("), mark, F.lit(")"))).otherwise(clean)
+
+
+def place_label(place: Column, nickname: Column) -> Column:
+    """The operator's name of a place where there is one, else the place as written."""
+    return F.coalesce(F.nullif(trimmed(nickname), F.lit("")), place)
+
+
+def bare_grid(place: Column) -> Column:
+    """Whether a place is a grid reference and nothing else."""
+    return F.coalesce(F.regexp_replace(place, r"\s+", "").rlike(r"^\d{1,2}[C-X][A-Z][A-Z]\d+$"), F.lit(False))
 
 
 def escaped(text: Column) -> Column:

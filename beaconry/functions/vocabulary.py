@@ -20,7 +20,6 @@ NAMELESS_WITHIN_M = 500.0
 FEED_ROWS = 60
 REPORT_TYPE = "7S-rapport"
 GENERATOR = "7s-plugin"
-SENSOR_WEIGHT = 2
 
 # Letters of a plate, shapes of identifiers.
 PLATE_LETTERS = "ABCDEFGHJKLMNPRSTUWXYZ"
@@ -152,3 +151,12 @@ REASON_PHRASES = {
     "beteende:perimeter": "närmande mot objektet", "beteende:teknik": "teknisk avlyssning/spaning", "beteende:sabotage": "sabotage/åverkan",
     "beteende:attentat": "misstänkt föremål/fordonshot", "beteende:infiltration": "obehörigt tillträde", "återkomst": "återkommande",
 }
+
+# Equipment in pictures and the behaviour it shows: words to look for, behaviour, what it is called, weight.
+PICTURE_BEHAVIOURS = (
+    (("kikare", "binokl", "binocular", "tub", "sikte"), "optik", "kikare/optik", 2),
+    (("kamera", "camera", "teleobjektiv", "objektiv", "telephoto", "telelins"), "optik", "kamera/teleobjektiv", 2),
+    (("mät", "measur", "tumstock", "avstånds", "gps-", "kartl"), "registrering", "mätande/registrering", 2),
+    (("antecknar", "anteckn", "noter", "skiss", "ritblock"), "registrering", "antecknande", 2),
+    (("observ", "spanar", "betraktar", "övervakar", "watching"), "observation", "observerande", 1),
+)

@@ -60,7 +60,7 @@ def actors(sighted: DataFrame, labels: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("type")).alias("types"),
         F.min_by("label", "node").alias("label"),
         # An order-free digest, so that no component's members are gathered in one value.
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).cast("string").alias("digest"),
+        F.sum(F.conv(F.substring(F.md5("node"), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"),
     )
     name = F.concat(F.lit("aktor-"), F.regexp_replace("label", r"[^\p{L}\p{N}]+", "_"), F.lit("-"), F.col("facets").cast("string"), F.lit("f-"), short_hash(F.col("digest")))
     return grouped.filter(F.size("types") >= 2).select(name.alias("id"), "root", "facets", "vehicles", "marks", "types")
@@ -82,9 +82,32 @@ def spans(chain: DataFrame) -> DataFrame:
     return chain.groupBy("actor").agg(F.count(F.lit(1)).alias("messages"), F.coalesce(F.min(time), F.lit("")).alias("first_seen"), F.coalesce(F.max(time), F.lit("")).alias("last_seen"))
 
 
-def folded(found: DataFrame, closed: DataFrame) -> DataFrame:
-    """Actors after operator merges: counts added up per survivor."""
-    kept = found.join(closed.withColumnRenamed("absorbed", "id"), "id", "left").withColumn("id", F.coalesce("survivor", "id"))
-    return kept.groupBy("id").agg(
-        F.sum("facets").alias("facets"), F.sum("vehicles").alias("vehicles"), F.sum("marks").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types")
-    )
+def merged(found: DataFrame, vertices: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """Actors and the suspects that no actor has among its facets (U2, J15): (id, root, facets, vehicles, marks, types).
+
+    ``vertices`` has the (actor, facet) of ``found``.
+    """
+    alone = hypotheses.join(vertices.select("facet"), "facet", "left_anti").select(
+        "id", F.col("facet").alias("root"), F.lit(1).cast("long").alias("facets"), F.col("vehicles").cast("long").alias("vehicles"), F.col("marks").cast("long").alias("marks"),
+        F.array(F.when(F.col("vehicles") == 1, "fordon").otherwise("person")).alias("types"),
+    )
+    return found.select("id", "root", "facets", "vehicles", "marks", "types").unionByName(alone)
+
+
+def facets_of(found: DataFrame, sighted: DataFrame, labels: DataFrame) -> DataFrame:
+    """(actor, facet, type, label) of the actors of ``actors``."""
+    vertices = sighted.select("facet", "type", "label").distinct().join(labels.withColumnRenamed("node", "facet"), "facet")
+    return vertices.join(found.select(F.col("id").alias("actor"), "root"), "root").select("actor", "facet", "type", "label")
+
+
+def folded(held: DataFrame, chain: DataFrame, closed: DataFrame) -> DataFrame:
+    """Actors after operator merges (AG13): (actor, facets, vehicles, marks, messages, first_seen, last_seen).
+
+    ``held`` has (actor, facet, type), ``chain`` (actor, file, tidpunkt), ``closed``
+    (absorbed, survivor). A facet and a message that several merged actors have count once.
+    """
+    survivor = lambda df: df.join(closed.withColumnRenamed("absorbed", "actor"), "actor", "left").withColumn("actor", F.coalesce("survivor", "actor"))
+    own = survivor(held).select("actor", "facet", "type").distinct()
+    counted = own.groupBy("actor").agg(F.count(F.lit(1)).alias("facets"), F.count_if(F.col("type") == "fordon").alias("vehicles"), F.count_if(F.col("type") != "fordon").alias("marks"))
+    steps = survivor(chain).groupBy("actor", "file").agg(F.min("tidpunkt").alias("tidpunkt"))
+    return counted.join(spans(steps), "actor", "left").select("actor", "facets", "vehicles", "marks", F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("first_seen", F.lit("")).alias("first_seen"), F.coalesce("last_seen", F.lit("")).alias("last_seen"))

@@ -33,13 +33,13 @@ def kind_of(column: str) -> Column:
     return F.get(kinds(column), F.lit(0))["type"]
 
 
-def craft(reports: DataFrame) -> DataFrame:
-    """One row per report and kind: (file, type, medium, plated, threat, plate).
+def craft(reports: DataFrame, *keep: str) -> DataFrame:
+    """One row per report and kind: (file, *keep, type, label, medium, plated, threat, plate).
 
     A plated craft is tied to the report's whole plate if there is exactly one.
     """
-    base = with_items(reports, "handelse", "symbol").withColumn("text", F.lower(prose()))
+    base = with_items(reports, "handelse", "symbol", *keep).withColumn("text", F.lower(prose()))
     whole = F.array_distinct(F.transform(F.filter("items", lambda i: (i["type"] == "plate") & ~i["partial"]), lambda i: i["value"]))
-    found = base.select("file", kinds("text").alias("kinds"), F.when(F.size(whole) == 1, whole[0]).alias("sole"))
-    rows = found.select("file", "sole", F.inline_outer("kinds")).filter(F.col("type").isNotNull())
-    return rows.select("file", "type", "medium", "plated", "threat", F.when(F.col("plated"), F.col("sole")).alias("plate"))
+    found = base.select("file", *keep, kinds("text").alias("kinds"), F.when(F.size(whole) == 1, whole[0]).alias("sole"))
+    rows = found.select("file", *keep, "sole", F.inline_outer("kinds")).filter(F.col("type").isNotNull())
+    return rows.select("file", *keep, "type", F.col("type").alias("label"), "medium", "plated", "threat", F.when(F.col("plated"), F.col("sole")).alias("plate"))

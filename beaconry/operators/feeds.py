@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import reason_phrases, stem_of, trimmed
+from ..functions.text import bare_grid, reason_phrases, trimmed
 from ..functions.instants import epoch_seconds
 
 #: The time of the first pinned row; the others come right below it.
@@ -47,9 +49,9 @@ def unseen(current: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def feed(items: DataFrame, most: int = V.FEED_ROWS) -> DataFrame:
-    """The newest items, one per path (of equal times the first by seq): (path, kind, time, seq)."""
-    newest = items.groupBy("path").agg(F.max_by(F.struct(*[c for c in items.columns if c != "path"]), F.struct("time", -F.col("seq"))).alias("x")).select("path", "x.*")
-    return newest.orderBy(F.col("time").desc(), F.col("seq")).limit(most)
+    """The newest items, one per path (of equal times the first by seq, then kind): (path, kind, time, seq), in order of time, seq and path."""
+    newest = items.groupBy("path").agg(F.min_by(F.struct(*[c for c in items.columns if c != "path"]), F.struct(-F.col("time"), "seq", "kind")).alias("x")).select("path", "x.*")
+    return newest.orderBy(F.col("time").desc(), "seq", "path").limit(most)
 
 
 def report_items(reports: DataFrame, elevated: DataFrame) -> DataFrame:
@@ -57,12 +59,12 @@ def report_items(reports: DataFrame, elevated: DataFrame) -> DataFrame:
     hot = elevated.select("file", F.lit(True).alias("hot"))
     time = F.coalesce(epoch_seconds(F.col("tidpunkt")), F.lit(0).cast("long"))
     rows = reports.select("file", time.alias("time")).join(hot, "file", "left")
-    return rows.select(F.col("file").alias("path"), F.when(F.col("hot"), "larm").otherwise("mottaget").alias("kind"), "time", F.xxhash64("file").alias("seq"))
+    return rows.select(F.col("file").alias("path"), F.when(F.col("hot"), "larm").otherwise("mottaget").alias("kind"), "time", F.lit(0).cast("long").alias("seq"))
 
 
 def _items(rows: DataFrame, path: Column, kind: Column | str, time: Column) -> DataFrame:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return rows.select(path.alias("path"), kind.alias("kind"), F.coalesce(time, F.lit(0)).cast("long").alias("time"), F.xxhash64(path).alias("seq"))
+    return rows.select(path.alias("path"), kind.alias("kind"), F.coalesce(time, F.lit(0)).cast("long").alias("time"), F.lit(0).cast("long").alias("seq"))
 
 
 def _note(name: Column) -> Column:
@@ -107,17 +109,47 @@ def place_items(reports: DataFrame, elevated: DataFrame, plates: DataFrame, name
     In the order of their first such report; ``running`` rows of analyses come before.
     """
     place = trimmed(F.coalesce("plats", F.lit("")))
-    at_grid = reports.select("file", "tnr", "tidpunkt", place.alias("key")).filter(F.regexp_replace("key", r"\s+", "").rlike(r"^\d{1,2}[C-X][A-Z][A-Z]\d+$"))
+    at_grid = reports.select("file", "tnr", "tidpunkt", place.alias("key")).filter(bare_grid(F.col("key")))
     relevant = elevated.select("file").unionByName(plates.filter(~F.col("partial")).select("file")).distinct()
-    first = at_grid.join(relevant, "file", "left_semi").groupBy("key").agg(F.min(F.struct("tidpunkt", "tnr", "file")).alias("turn"))
+    first = at_grid.join(relevant, "file", "left_semi").groupBy("key").agg(F.min(F.struct(F.coalesce("tidpunkt", F.lit("")), F.coalesce("tnr", F.lit("")), "file")).alias("turn"))
     if named is not None:
         first = first.join(named.select(F.col("place").alias("key")).distinct(), "key", "left_anti")
     return pinned_in_turn(first, "review:place:", "namnge-plats", PINNED_KINDS + running, most)
 
 
-def alarm_rows(elevated: DataFrame) -> DataFrame:
-    """(note, level phrases): what the feed shows of an alarm."""
-    return elevated.select(stem_of(F.col("file")).alias("note"), F.array_join(reason_phrases(F.col("reasons")), ", ").alias("phrases"))
+def running_items(running: DataFrame, kind: str, after: int, most: int = V.FEED_ROWS) -> DataFrame:
+    """Pinned items of reports (file) being analysed right now, by file; kind is bildanalys or textanalys."""
+    rows = running.select(F.col("file").alias("turn"), F.col("file").alias("key")).distinct()
+    return pinned_in_turn(rows, f"{kind}:", kind, after, most)
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """Feed rows with the text people read (F16) and how urgent it is: adds (text, severity).
+
+    Expects kind, tnr, plats, label, count and phrases beside the feed's own columns.
+    """
+    kind, lit = F.col("kind"), F.lit
+    at = F.when(F.coalesce("plats", lit("")) != "", F.concat(lit(" — "), "plats")).otherwise("")
+    n = F.col("count").cast("string")
+    waiting = lambda what: F.concat(n, lit(f" {what} att granska →"))
+    texts = {
+        "mottaget": F.concat(lit("Meddelande TNR"), F.coalesce("tnr", lit("")), lit(" mottaget"), at),
+        "fordon": F.concat(lit("Fordon "), "label", lit(" identifierat"), F.when(F.col("count") > 0, F.concat(lit(" ("), n, lit(" observationer)"))).otherwise("")),
+        "kännetecken": F.concat(lit("Kännetecken bekräftat: "), "label"),
+        "aktör": F.concat(lit("Aktör bekräftad: "), "label"),
+        "larm": F.concat(lit("⚠ Misstänkt aktivitet"), at, F.when(F.col("phrases") != "", F.concat(lit(" ("), "phrases", lit(")"))).otherwise("")),
+        "bevakad": F.concat(lit("🔭 Bevakad: "), "label", lit(" — +"), n, lit(" nya observationer")),
+        "bildanalys": F.concat(lit("📷 Bild mottagen, analys startad — TNR"), F.coalesce("tnr", lit("?")), at),
+        "textanalys": F.concat(lit("📝 Meddelande mottaget, analyseras — TNR"), F.coalesce("tnr", lit("?")), at),
+        "förslag-aktör": F.concat(lit("🔗 "), waiting("aktörsförslag")),
+        "förslag-märke": F.concat(lit("🎒 "), waiting("kopplingsförslag")),
+        "förslag-bild": F.concat(lit("📷 "), waiting("bildfynd")),
+        "förslag-text": F.concat(lit("📝 "), waiting("textfynd")),
+        "namnge-plats": F.concat(lit("📍 Namnge plats "), "label", lit(" →")),
+    }
+    text = reduce(lambda done, each: done.when(kind == each[0], each[1]), texts.items(), F.when(lit(False), ""))
+    severity = F.when(kind.startswith("förslag") | (kind == "namnge-plats"), "review").when(kind.isin("larm", "bevakad"), kind).otherwise("info")
+    return rows.withColumns({"text": text, "severity": severity})
 
 
 def watch(entries: DataFrame, states: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def agents(reports: DataFrame) -> DataFrame:
 
 def sightings(reports: DataFrame, elevated: DataFrame) -> DataFrame:
     """Elevated reports with their agent."""
-    return elevated.join(agents(reports), "file")
+    return elevated.join(agents(reports.join(elevated.select("file"), "file", "left_semi")), "file")
 
 
 def suspects(seen: DataFrame) -> DataFrame:
@@ -53,11 +53,12 @@ def candidate() -> Column:
 
 
 def hypotheses(found: DataFrame) -> DataFrame:
-    """Candidates as actors of one facet: (id, facet, vehicles, marks, n, first_seen, last_seen)."""
+    """Candidates as actors of one facet: (id, facet, label, vehicles, marks, n, first_seen, last_seen, lat, lon)."""
     vehicle = F.col("kind") == "fordon"
     return found.filter(candidate()).select(
         F.concat(F.lit("suspect-"), safe_name(F.col("agent"))).alias("id"),
         F.col("agent").alias("facet"),
+        "label",
         vehicle.cast("int").alias("vehicles"),
         (~vehicle).cast("int").alias("marks"),
         "n", "first_seen", "last_seen", "lat", "lon",

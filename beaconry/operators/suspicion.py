@@ -50,8 +50,7 @@ def proximity(reports: DataFrame, places: DataFrame) -> DataFrame:
         weight == 2, F.when(own, F.lit("i närområdet")).otherwise(F.concat(F.lit("i närområdet av "), place))
     ).otherwise(F.when(own, F.lit("i vidare område")).otherwise(F.concat(F.lit("i vidare område kring "), place)))
     reason = _reason(F.when(own, "proximity").otherwise("känslig-plats"), F.concat(words, metres), weight)
-    # The anchors are a fixed, small table, bounded like the ranges within() broadcasts.
-    told = reach.join(F.broadcast(known.select("seq", "name", "bands")), "seq").filter(weight.isNotNull())
+    told = reach.join(known.select("seq", "name", "bands"), "seq").filter(weight.isNotNull())
     return told.groupBy("file").agg(F.max_by(reason, F.struct(weight, -d, -F.col("seq"))).alias("near"))
 
 

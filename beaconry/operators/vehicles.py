@@ -1,9 +1,9 @@
 """Vehicles re-identified by plate, partly read plates included (J1, AG1, AG2).
 
-A partly read plate is matched through its rarest readable place: whole plates are
-laid out by (place, letter) and joined on it, then the whole pattern is checked. A
-plate of which nothing was read fits every whole plate, which is counted and never
-laid out. Only a partial with exactly one whole plate is merged into it.
+A partly read plate has one of few masks, the places of it that were read. Every whole
+plate is written under each mask that occurs, unread places as dots, so that a partial
+equals the whole plates it fits: one equality, counted before the shuffle. Only a
+partial with exactly one whole plate is merged into it.
 """
 
 from __future__ import annotations
@@ -18,36 +18,35 @@ from .identifiers import plates
 TOLD = ("tnr", "tidpunkt", "plats", "sagesman")
 
 
-def _laid_out(plate: Column) -> Column:
-    return F.transform(F.split(plate, ""), lambda c, i: F.struct(i.alias("place"), c.alias("letter")))
+#: Letters and digits of a plate.
+PLACES = 6
+
+
+def _masked(plate: str, mask: str) -> Column:
+    return F.concat(*[F.substring(plate, i, 1) if seen != "." else F.lit(".") for i, seen in enumerate(mask, 1)])
+
+
+def _fitting(mentions: DataFrame) -> DataFrame:
+    """(partial, plate): whole plates as every mask of the partials shows them."""
+    shape = F.regexp_replace("plate", r"[^.]", "x")
+    # Six places, read or not: at most 64 masks.
+    masks = [r["mask"] for r in mentions.filter(F.col("partial") & (F.length("plate") == PLACES)).select(shape.alias("mask")).distinct().collect()]
+    wholes = mentions.filter(~F.col("partial") & (F.length("plate") == PLACES)).select("plate").distinct()
+    shown = F.array(*[_masked("plate", m) for m in sorted(masks)]).cast("array<string>")
+    return wholes.select(F.explode(shown).alias("partial"), "plate")
 
 
 def partial_matches(mentions: DataFrame) -> DataFrame:
-    """(partial, n, candidates): how many whole plates each partial fits, and which (null when nothing was read)."""
+    """(partial, n, only): how many whole plates each partial fits, and which if it is one."""
     partials = mentions.filter("partial").select(F.col("plate").alias("partial")).distinct()
-    wholes = mentions.filter("not partial").select("plate").distinct()
-    laid = wholes.select("plate", F.inline(_laid_out(F.col("plate"))))
-    often = laid.groupBy("place", "letter").agg(F.count(F.lit(1)).alias("often"))  # at most some 200 rows
-    read = partials.select("partial", F.inline(_laid_out(F.col("partial")))).filter("letter <> '.'")
-    rarest = (
-        read.join(F.broadcast(often), ["place", "letter"], "left")
-        .groupBy("partial")
-        .agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "place", "letter")).alias("at"))
-        .select("partial", "at.place", "at.letter")
-    )
-    fits = (
-        rarest.join(laid, ["place", "letter"])
-        .filter(F.expr("plate rlike concat('^', partial, '$')"))
-        .groupBy("partial")
-        .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("plate")).alias("candidates"))
-    )
-    blank = F.regexp_replace("partial", r"\.", "") == ""
-    total = wholes.agg(F.count(F.lit(1)).alias("total"))
-    return (
-        partials.join(fits, "partial", "left")
-        .join(F.broadcast(total))
-        .select("partial", F.when(blank, F.col("total")).otherwise(F.coalesce("n", F.lit(0))).alias("n"), F.when(~blank, F.coalesce("candidates", F.array().cast("array<string>"))).alias("candidates"))
-    )
+    fits = _fitting(mentions).groupBy("partial").agg(F.count(F.lit(1)).alias("n"), F.min("plate").alias("least"))
+    return partials.join(fits, "partial", "left").select("partial", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("least")).alias("only"))
+
+
+def candidates(mentions: DataFrame) -> DataFrame:
+    """(partial, plate): the whole plates of each partial that fits several."""
+    several = partial_matches(mentions).filter("n > 1").select("partial")
+    return _fitting(mentions).join(several, "partial")
 
 
 def observations(reports: DataFrame) -> DataFrame:
@@ -59,7 +58,7 @@ def observed(seen: DataFrame) -> DataFrame:
     """``observations`` of plates that were read with the columns of ``TOLD``."""
     told = ["file", *TOLD]
     whole = seen.filter(~F.col("partial")).select(F.col("plate").alias("canonical"), F.lit("fordon-reg-full").alias("kind"), *told, F.lit(None).cast("string").alias("as_read"))
-    fits = partial_matches(seen).select(F.col("partial").alias("plate"), F.when(F.col("n") == 1, F.get("candidates", F.lit(0))).alias("only"))
+    fits = partial_matches(seen).select(F.col("partial").alias("plate"), "only")
     merged = F.col("only").isNotNull()
     read = seen.filter("partial").join(fits, "plate").select(
         F.coalesce("only", "plate").alias("canonical"), F.when(merged, "fordon-reg-full").otherwise("fordon-reg-partiell").alias("kind"), *told, F.col("plate").alias("as_read")

@@ -113,7 +113,9 @@ UNION ALL SELECT c.name, b.file, b.tidpunkt, b.elevated, b.plates, b.lat, b.lon,
   CASE WHEN rare IS NULL AND dark THEN {'dim': 'farg', 'value': 'mörk'} END, CASE WHEN rare IS NULL AND light THEN {'dim': 'farg', 'value': 'ljus'} END,
   CASE WHEN rare IS NULL AND marked THEN {'dim': 'marking', 'value': 'ja'} END, CASE WHEN rare IS NULL AND rear THEN {'dim': 'position', 'value': 'bak'} END,
   CASE WHEN rare IS NULL AND o1 THEN {'dim': 'typ', 'value': 'teleobjektiv'} END, CASE WHEN rare IS NULL AND o2 THEN {'dim': 'typ', 'value': 'nattkikare'} END,
-  CASE WHEN rare IS NULL AND o3 THEN {'dim': 'typ', 'value': 'värmekamera'} END, CASE WHEN rare IS NULL AND o4 THEN {'dim': 'typ', 'value': 'drönare'} END], recursive := true)
+  CASE WHEN rare IS NULL AND o3 THEN {'dim': 'typ', 'value': 'värmekamera'} END, CASE WHEN rare IS NULL AND o4 THEN {'dim': 'typ', 'value': 'drönare'} END,
+  CASE WHEN rare IS NULL AND unclear THEN {'dim': 'synlighet', 'value': 'otydlig'} END, CASE WHEN rare IS NULL AND tac THEN {'dim': 'text', 'value': 'TAC'} END,
+  CASE WHEN rare IS NULL AND dge THEN {'dim': 'text', 'value': 'DGE'} END], recursive := true)
   FROM islands) WHERE dim IS NOT NULL""",
     "led": """SELECT file, island, min(tnr) AS tnr, min(tidpunkt) AS tidpunkt, min(sagesman) AS sagesman, arg_min(opens, pos) AS object, count(*) AS clauses FROM islands GROUP BY file, island
   HAVING arg_min(opens IS NOT NULL, pos) AND NOT arg_min(negated, pos) AND island > 0""",
@@ -122,13 +124,61 @@ UNION ALL SELECT c.name, b.file, b.tidpunkt, b.elevated, b.plates, b.lat, b.lon,
     "marks": """SELECT l.*, l.object || '#' || coalesce(g.s, '') AS signature, g.d AS distinctive FROM led l
   JOIN (SELECT file, island, string_agg(dim || ':' || v, '|' ORDER BY nth) FILTER (WHERE v IS NOT NULL) AS s, bool_and(v IS NOT NULL) AS d FROM parts GROUP BY file, island) g USING (file, island)""",
     "members": "SELECT *, count(*) OVER (PARTITION BY signature) AS times FROM (SELECT signature, file, min(object) AS object, min(tidpunkt) AS tidpunkt, min(sagesman) AS sagesman FROM marks WHERE distinctive GROUP BY signature, file) QUALIFY times >= 2",
+    "heads": """SELECT m.signature, m.object, m.file, m.island FROM marks m JOIN (SELECT DISTINCT signature FROM members) USING (signature) WHERE m.distinctive
+  QUALIFY row_number() OVER (PARTITION BY m.signature ORDER BY m.tidpunkt NULLS FIRST, m.tnr NULLS FIRST, m.file, m.island) = 1""",
+    "nouns": "SELECT * FROM " + values(list(V.MARK_NOUNS.items())) + " v(object, noun)",
+    "named": """SELECT h.signature, concat_ws(' ', string_agg(a.value, '/' ORDER BY a.value) FILTER (WHERE a.dim = 'farg'), n.noun) AS head,
+  concat_ws(', ', CASE WHEN bool_or(a.dim = 'marking') THEN 'märke' END, CASE WHEN bool_or(a.dim = 'synlighet') THEN 'otydligt' END, CASE WHEN bool_or(a.dim = 'position') THEN 'bak' END,
+  string_agg(a.value, ', ' ORDER BY a.dim, a.value) FILTER (WHERE a.dim IN ('item', 'typ')), string_agg(a.value, '/' ORDER BY a.value) FILTER (WHERE a.dim = 'text')) AS extras
+  FROM heads h JOIN nouns n USING (object) LEFT JOIN attrs a ON a.file = h.file AND a.island = h.island GROUP BY h.signature, n.noun""",
+    "noms": """SELECT m.signature, min(m.object) AS object, any_value(head || CASE WHEN extras <> '' THEN ' (' || extras || ')' ELSE '' END) AS label, count(*) AS count,
+  coalesce(min(nullif(tidpunkt, '')), '') AS first_seen, coalesce(max(nullif(tidpunkt, '')), '') AS last_seen,
+  coalesce((SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT unnest(list(m.sagesman)) AS s) WHERE s <> ''), '') AS observers FROM members m JOIN named USING (signature) GROUP BY m.signature""",
     "facet": "SELECT DISTINCT 'fordon:' || canonical AS facet, 'fordon' AS type, file FROM obs UNION SELECT 'marke:' || signature, 'marke:' || object, file FROM members",
     "tied": "SELECT x.facet AS a, y.facet AS b, count(*) AS weight FROM facet x JOIN facet y ON x.file = y.file AND x.facet < y.facet GROUP BY 1, 2",
+    "hyps": r"""SELECT 'suspect-' || regexp_replace(agent, '[\\/:*?"<>|.\s#]', '_', 'g') AS id, agent AS facet, kind, n, first_seen, last_seen FROM suspects WHERE n > 1 OR behaving""",
+    "shown": """SELECT r.file, r.key, r.weight, r.turn, CASE r.key """
+    + " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, v in V.REASON_PHRASES.items())
+    + """ ELSE CASE WHEN r.key LIKE 'farkost:%' THEN substr(r.key, 9) WHEN r.key = 'känslig-plats' THEN CASE r.weight WHEN 3 THEN 'nära ' WHEN 2 THEN 'i närområdet av ' ELSE 'i vidare område kring ' END || n.name
+  ELSE (SELECT any_value(trim(regexp_replace(b.label, '\\s*\\(\\+\\d+\\)', '', 'g'))) FROM (SELECT file AS f, unnest(confirmed_behaviours) AS b FROM reports) WHERE f = r.file AND b.key = r.key) END END AS phrase
+  FROM reasons r LEFT JOIN near n ON n.file = r.file""",
+    "phrased": """SELECT file, string_agg(phrase, ', ' ORDER BY turn) AS phrases FROM (SELECT file, phrase, min(turn) AS turn FROM shown WHERE phrase <> '' GROUP BY file, phrase) GROUP BY file""",
     "arrivals": f"SELECT file AS path, coalesce({SQL_EPOCH.format(c='tidpunkt')}, 0) AS time FROM reports",
 }
 NEEDS = {name: [other for other in PARTS if other != name and re.search(rf"\b{other}\b", re.sub(r"'[^']*'", "''", sql))] for name, sql in PARTS.items()}
 
 
+def short_hash(text: str) -> str:
+    """The djb2 hash of a text in base 36."""
+    return f"lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296), 36))"
+
+
+def reach(least: int = 1) -> str:
+    """Actors of edges of a weight: reach, comps (facet, root), acts, lone suspects and allacts (id, root, facets, vehicles, marks, types)."""
+    return rf"""reach AS (SELECT a AS u, a AS v FROM tied WHERE weight >= {least} UNION SELECT b, b FROM tied WHERE weight >= {least}
+  UNION SELECT r.u, e.b FROM reach r JOIN (SELECT a, b FROM tied WHERE weight >= {least} UNION ALL SELECT b, a FROM tied WHERE weight >= {least}) e ON e.a = r.v),
+comps AS (SELECT u AS facet, min(v) AS root FROM reach GROUP BY u),
+verts AS (SELECT DISTINCT facet, type, root FROM facet JOIN comps USING (facet)),
+raw AS (SELECT root, count(*) AS facets, count(*) FILTER (WHERE type = 'fordon') AS vehicles, count(*) FILTER (WHERE type <> 'fordon') AS marks, string_agg(DISTINCT type, ',' ORDER BY type) AS types,
+  CAST(sum(CAST(('0x' || substr(md5(facet), 1, 15)) AS BIGINT)) AS VARCHAR) AS digest FROM verts GROUP BY root HAVING count(DISTINCT type) >= 2),
+acts AS (SELECT 'aktor-' || regexp_replace(regexp_replace(root, '^(fordon|marke):', ''), '[^\p{{L}}\p{{N}}]+', '_', 'g') || '-' || facets || 'f-' || {short_hash("digest")} AS id, * EXCLUDE (digest) FROM raw),
+chain AS (SELECT a.id, f.file FROM facet f JOIN comps USING (facet) JOIN acts a USING (root) GROUP BY a.id, f.file HAVING count(DISTINCT f.facet) > 1),
+"""
+
+
+#: The same with the suspects that no actor has.
+ALL_ACTORS = """lone AS (SELECT * FROM hyps WHERE facet NOT IN (SELECT facet FROM verts JOIN acts USING (root))),
+allacts AS (SELECT id, root, facets, vehicles, marks, types FROM acts UNION ALL SELECT id, facet, 1, CAST(kind = 'fordon' AS INT), CAST(kind <> 'fordon' AS INT), CASE WHEN kind = 'fordon' THEN 'fordon' ELSE 'person' END FROM lone),
+held AS (SELECT a.id AS actor, v.facet, v.type FROM verts v JOIN acts a USING (root) UNION ALL SELECT id, facet, CASE WHEN kind = 'fordon' THEN 'fordon' ELSE 'person' END FROM lone),
+steps AS (SELECT id AS actor, file FROM chain UNION ALL SELECT l.id, g.file FROM lone l JOIN agents g ON g.agent = l.facet JOIN elevated USING (file)),
+allsteps AS (SELECT s.actor, r.file, r.tnr, r.tidpunkt, r.plats FROM steps s JOIN reports r USING (file))"""
+
+
+def actors(select: str, *names: str, least: int = 1, extra: str = "") -> str:
+    """``select`` over actors and whatever else it names."""
+    return sql(select, "facet", "tied", "hyps", "elevated", "agents", *names, recursive=reach(least) + ALL_ACTORS, extra=extra)
+
+
 def _order(names: list[str], done: list[str]) -> list[str]:
     for name in names:
         if name not in done:
@@ -138,9 +188,7 @@ def _order(names: list[str], done: list[str]) -> list[str]:
     return done
 
 
-def sql(select: str, *names: str, recursive: str = "") -> str:
-    """``select`` after the parts it names and theirs."""
-    parts = [f"{name} AS ({PARTS[name]})" for name in _order(list(names), [])]
-    if recursive:
-        parts.append(recursive)
+def sql(select: str, *names: str, recursive: str = "", extra: str = "") -> str:
+    """``select`` after the parts it names and theirs, then parts of its own."""
+    parts = [f"{name} AS ({PARTS[name]})" for name in _order(list(names), [])] + [x for x in (recursive, extra) if x]
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + select
