@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grid, text
+from ..functions import text
 from ..functions import vocabulary as V
 from ..functions.instants import SQL_EPOCH
 from ..operators import actors, cells, craft, delivery, evaluation, feeds, identifiers, late_events, marks, places, suspects, suspicion, vehicles
 from ..sources import models, notes, reports_md
-from ..session import ensure_checkpoint_dir, read_table
-from . import checking, questions
+from ..session import read_table, stored
+from . import checking, derived, questions
+from .pipeline import Pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +53,7 @@ def places_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored_of(spark: SparkSession, d: str) -> DataFrame:
-    return suspicion.score(reports_of(spark, d), places_of(spark, d))
+    return Pipeline(spark, d).scored
 
 
 def elevated_of(spark: SparkSession, d: str) -> DataFrame:
@@ -60,32 +61,20 @@ def elevated_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vehicles_of(spark: SparkSession, d: str) -> DataFrame:
-    return vehicles.entities(vehicles.observations(reports_of(spark, d)))
+    return Pipeline(spark, d).vehicles
 
 
 def suspects_of(spark: SparkSession, d: str) -> DataFrame:
-    return suspects.suspects(suspects.sightings(reports_of(spark, d), elevated_of(spark, d)))
+    return Pipeline(spark, d).suspects
 
 
 def claims_of(spark: SparkSession, d: str) -> DataFrame:
-    return places.claims(reports_of(spark, d), elevated_of(spark, d), places_of(spark, d))
-
-
-def facets_of(spark: SparkSession, d: str) -> DataFrame:
-    """Sightings of vehicles and recurring marks, written once because several steps read them."""
-    ensure_checkpoint_dir(spark)
-    reports = reports_of(spark, d)
-    return actors.facets(vehicles.observations(reports), marks.members(marks.marks(reports))).checkpoint()
-
-
-def actors_of(spark: SparkSession, d: str, threshold: int = 1) -> DataFrame:
-    sighted = facets_of(spark, d)
-    return actors.actors(sighted, actors.label_components(actors.edges(sighted, threshold)))
+    return Pipeline(spark, d).claims
 
 
 def alerts_of(spark: SparkSession, d: str) -> DataFrame:
-    reports = reports_of(spark, d)
-    return feeds.alerts(elevated_of(spark, d), actors_of(spark, d), marks.nominations(marks.marks(reports)), vehicles_of(spark, d))
+    whole = Pipeline(spark, d)
+    return feeds.alerts(whole.elevated, whole.actors, whole.nominations, whole.vehicles)
 
 
 # --- queries ------------------------------------------------------------------
@@ -170,7 +159,7 @@ def q_nearest_place(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_locations(spark: SparkSession, d: str) -> DataFrame:
-    return places.locations(claims_of(spark, d), places_of(spark, d)).select("place", "reports", "elevated", "plates", "predefined")
+    return Pipeline(spark, d).locations.select("place", "reports", "elevated", "plates", "predefined")
 
 
 def q_vehicle_recurrence(spark: SparkSession, d: str) -> DataFrame:
@@ -178,28 +167,25 @@ def q_vehicle_recurrence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_facet_edges(spark: SparkSession, d: str) -> DataFrame:
-    return actors.edges(facets_of(spark, d))
+    return actors.edges(Pipeline(spark, d).sighted)
 
 
 def q_actors(spark: SparkSession, d: str) -> DataFrame:
-    return actors_of(spark, d).select("root", "facets", "vehicles", "marks", F.array_join("types", ",").alias("types"))
+    return Pipeline(spark, d).tied_actors.select("root", "facets", "vehicles", "marks", F.array_join("types", ",").alias("types"))
 
 
 def q_actors_2(spark: SparkSession, d: str) -> DataFrame:
-    return actors_of(spark, d, 2).select("root", "facets", "vehicles", "marks", F.array_join("types", ",").alias("types"))
+    return Pipeline(spark, d, 2).tied_actors.select("root", "facets", "vehicles", "marks", F.array_join("types", ",").alias("types"))
 
 
 def q_actor_chains(spark: SparkSession, d: str) -> DataFrame:
-    sighted = facets_of(spark, d)
-    tied = actors.edges(sighted).checkpoint()
-    labels = actors.label_components(tied)
-    found = actors.actors(sighted, labels).checkpoint()
-    chain = actors.chains(found, sighted, tied, labels, reports_of(spark, d))
-    return actors.spans(chain).join(found.select(F.col("id").alias("actor"), "root"), "actor").select("root", "messages", "first_seen", "last_seen")
+    whole = Pipeline(spark, d)
+    tied = whole.chains.join(whole.tied_actors.select(F.col("id").alias("actor"), "root"), "actor")
+    return actors.spans(tied).join(whole.tied_actors.select(F.col("id").alias("actor"), "root"), "actor").select("root", "messages", "first_seen", "last_seen")
 
 
 def q_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return alerts_of(spark, d).select("kind", F.when(F.col("kind") == "aktör", "").otherwise(F.col("key")).alias("key"), "rank")
+    return alerts_of(spark, d).select("kind", "key", "title", "rank")
 
 
 def q_alerts_new(spark: SparkSession, d: str) -> DataFrame:
@@ -208,40 +194,14 @@ def q_alerts_new(spark: SparkSession, d: str) -> DataFrame:
     A report's own reasons, plates and marks don't depend on other reports, so they are
     read once for both sides; everything that counts reports is derived for each.
     """
-    ensure_checkpoint_dir(spark)
-    reports = reports_of(spark, d)
-    middle = F.broadcast(reports.agg(((F.min("batch_no") + F.max("batch_no")) / 2).alias("middle")))
-    earlier = reports.join(middle).filter("batch_no <= middle").select("file")
-    read = [x.checkpoint() for x in (elevated_of(spark, d), identifiers.plates(reports, *vehicles.TOLD), marks.marks(reports))]
-
-    def alerted(hot: DataFrame, plates: DataFrame, marked: DataFrame) -> DataFrame:
-        seen = vehicles.observed(plates)
-        sighted = actors.facets(seen, marks.members(marked)).checkpoint()
-        found = actors.actors(sighted, actors.label_components(actors.edges(sighted)))
-        return feeds.alerts(hot, found, marks.nominations(marked), vehicles.entities(seen)).select("key", "rank")
-
-    return feeds.unseen(alerted(*read), alerted(*[x.join(earlier, "file", "left_semi") for x in read]))
-
-
-def q_feed(spark: SparkSession, d: str) -> DataFrame:
-    """The feed without any decision taken: so nothing is confirmed, and all suggestions wait."""
-    ensure_checkpoint_dir(spark)
-    reports = reports_of(spark, d)
-    hot, plates, marked = [x.checkpoint() for x in (elevated_of(spark, d).select("file"), identifiers.plates(reports, *vehicles.TOLD), marks.marks(reports))]
-    seen = vehicles.observed(plates)
-    known = vehicles.entities(seen).checkpoint()
-    sighted = actors.facets(seen, marks.members(marked)).checkpoint()
-    found = actors.actors(sighted, actors.label_components(actors.edges(sighted)))
-    items = [
-        feeds.report_items(reports, hot),
-        feeds.vehicle_items(known),
-        feeds.watch_items(_watched(spark, known)),
-        feeds.pending_items(found.select(F.col("id").alias("ref")), "förslag-aktör", 0),
-        feeds.pending_items(marks.nominations(marked).select(F.col("signature").alias("ref")), "förslag-märke", 1),
-        feeds.place_items(reports, hot, plates),
-    ]
-    every = reduce(DataFrame.unionByName, items)
-    return feeds.feed(every.withColumn("seq", -F.crc32("path"))).select("path", "kind", "time")
+    whole = Pipeline(spark, d)
+    middle = F.broadcast(whole.reports.agg(((F.min("batch_no") + F.max("batch_no")) / 2).alias("middle")))
+    earlier = stored(whole.reports.join(middle).filter("batch_no <= middle").select("file"))
+    seen = Pipeline(spark, d)
+    for step in ("reports", "elevated", "plates", "marks", "suspect_sightings"):
+        seen.__dict__[step] = getattr(whole, step).join(earlier, "file", "left_semi")
+    told = lambda x: feeds.alerts(x.elevated, x.actors, x.nominations, x.vehicles).select("key", "rank")
+    return feeds.unseen(told(whole), told(seen))
 
 
 def _watched(spark: SparkSession, known: DataFrame) -> DataFrame:
@@ -261,19 +221,9 @@ def q_mojibake(spark: SparkSession, d: str) -> DataFrame:
     return reports.filter(F.col("plats").contains("Ã") | F.col("handelse").contains("Ã")).select("file", text.repaired(F.col("plats")).alias("plats"), text.repaired(F.col("handelse")).alias("handelse"))
 
 
-def q_grid_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Positions of reports from the grid in their place, where they have none of their own."""
-    at = grid.first_position(F.coalesce("stalle", F.lit("")))
-    found = reports_of(spark, d).filter(F.col("lat").isNull() | F.col("lon").isNull()).select("file", F.coalesce(at, grid.first_position(F.coalesce("plats", F.lit("")))).alias("at"))
-    return found.filter(F.col("at").isNotNull()).select("file", "at.lat", "at.lon")
-
-
 def q_text_mark_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Marks of one key in two reports or more; the longest wording names them."""
-    rows = read_table(spark, d, "text_marks").filter(F.col("label").isNotNull()).select("file", "mark_id", "label", text.mark_key(F.col("label")).alias("key")).filter(F.col("key") != "")
-    first = rows.groupBy("key", "file").agg(F.min_by("label", "mark_id").alias("label"), F.min("mark_id").alias("mark_id"))
-    grouped = first.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.max_by("label", F.struct(F.length("label"), -F.col("mark_id"))).alias("label"))
-    return grouped.filter("count >= 2")
+    return derived.text_mark_clusters(derived.text_mark_members(read_table(spark, d, "text_marks")))
 
 
 def q_link_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -319,20 +269,19 @@ def q_parse_files(spark: SparkSession, d: str) -> DataFrame:
 
 def q_recurring_vehicles(spark: SparkSession, d: str) -> DataFrame:
     """The question for vehicles seen three times or more."""
-    views = {"vehicles": lambda: vehicles_of(spark, d)}
-    return questions.answer(questions.parse("återkommande fordon minst 3"), views).select("ref", "n", "tidpunkt")
+    return questions.answer(questions.parse("återkommande fordon minst 3"), Pipeline(spark, d).views).select("ref", "n", "tidpunkt")
 
 
 def q_timeline_larm(spark: SparkSession, d: str) -> DataFrame:
     """The question for a timeline of alarms in the night."""
     asked = questions.parse("tidslinje larm på natten mellan 22 och 5")
-    return questions.answer(asked, {"elevated": lambda: elevated_of(spark, d)}).select("ref", "n")
+    return questions.answer(asked, Pipeline(spark, d).views).select("ref", "n")
 
 
 def q_place_question(spark: SparkSession, d: str) -> DataFrame:
     """The question for an observer's reports at a place."""
     asked = questions.parse("vilka rapporter från AQ vid Berga")
-    return questions.answer(asked, {"reports": lambda: reports_of(spark, d)}).select("ref")
+    return questions.answer(asked, Pipeline(spark, d).views).select("ref")
 
 
 def q_haversine(spark: SparkSession, d: str) -> DataFrame:
@@ -350,18 +299,24 @@ def q_eval_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_corroboration(spark: SparkSession, d: str) -> DataFrame:
-    """Plates in links against those in prose: confirmed, in conflict, or alone."""
-    every = identifiers.prose_plates(reports_of(spark, d))
-    return models.corroboration(every.filter("source = 'link'").select("file", "plate"), every.filter("source = 'prose'").select("file", "plate"))
+    """Plates read from pictures against those a report links or names: confirmed, in conflict, or alone."""
+    reports = reports_of(spark, d)
+    photos = reports.select("file", F.explode("photo_plates").alias("plate")).select("file", text.plate_read(F.col("plate")).alias("plate")).filter("plate <> ''").distinct()
+    return models.corroboration(photos, identifiers.prose_plates(reports).select("file", "plate"))
+
+
+def _vehicle_notes(reports: DataFrame) -> DataFrame:
+    read = stored(identifiers.plates(reports, *vehicles.TOLD))
+    seen = vehicles.observed(read)
+    return notes.vehicle_notes(seen, vehicles.entities(seen), vehicles.candidates(read))
 
 
 def q_vehicle_notes(spark: SparkSession, d: str) -> DataFrame:
-    """What would be written, kept and pruned if the last batch's reports were taken back."""
+    """What would be written, kept and pruned if the second half of the batches were taken back."""
     reports = reports_of(spark, d)
-    last = F.broadcast(reports.agg(F.max("batch_no").alias("last_batch")))
-    before = reports.join(last).filter("batch_no < last_batch").drop("last_batch")
-    current = notes.vehicle_notes(vehicles.observations(reports))
-    return notes.upsert(current, notes.vehicle_notes(vehicles.observations(before)), "jobb-a").select("path", "action")
+    middle = F.broadcast(reports.agg(((F.min("batch_no") + F.max("batch_no")) / 2).alias("middle")))
+    before = reports.join(middle).filter("batch_no <= middle").drop("middle")
+    return notes.upsert(_vehicle_notes(reports), _vehicle_notes(before), "jobb-a").select("path", "action")
 
 
 def q_demo_schedule(spark: SparkSession, d: str) -> DataFrame:
@@ -428,10 +383,8 @@ def queries() -> dict[str, Query]:
         "actor_chains": q_actor_chains,
         "alerts_all": q_alerts,
         "alerts_new": q_alerts_new,
-        "feed_top60": q_feed,
         "watch_status": q_watch,
         "mojibake": q_mojibake,
-        "grid_positions": q_grid_positions,
         "text_mark_clusters": q_text_mark_clusters,
         "link_kinds": q_link_kinds,
         "q_time_window": q_night_window,
@@ -448,14 +401,18 @@ def queries() -> dict[str, Query]:
         "eval_pairs": q_eval_pairs,
         "plate_corroboration": q_corroboration,
         "vehicle_notes": q_vehicle_notes,
-    }
+    } | derived.QUERIES
 
 
 _BAND = "CASE WHEN score >= 9 THEN 'Hög' WHEN score >= 6 THEN 'Förhöjd' WHEN score >= 5 THEN 'Att bevaka' ELSE '' END"
-_REACH = """reach AS (SELECT a AS u, a AS v FROM tied WHERE weight >= {n} UNION SELECT b, b FROM tied WHERE weight >= {n}
-  UNION SELECT r.u, e.b FROM reach r JOIN (SELECT a, b FROM tied WHERE weight >= {n} UNION ALL SELECT b, a FROM tied WHERE weight >= {n}) e ON e.a = r.v)"""
-_ACTORS = """SELECT root, count(*) AS facets, count(*) FILTER (WHERE type = 'fordon') AS vehicles, count(*) FILTER (WHERE type <> 'fordon') AS marks, string_agg(DISTINCT type, ',' ORDER BY type) AS types
-FROM (SELECT u AS facet, min(v) AS root FROM reach GROUP BY u) JOIN (SELECT DISTINCT facet, type FROM facet) USING (facet) GROUP BY root HAVING count(DISTINCT type) >= 2"""
+_ALERTS = """SELECT 'förhöjd' AS kind, 'förhöjd:' || e.file AS key, 'Misstänkt aktivitet' || coalesce(CASE WHEN n.weight = 3 THEN ' — nära ' || n.name END, '') || ' — ' || coalesce(e.plats, '') AS title, CAST(100 + score AS BIGINT) AS rank
+  FROM elevated e LEFT JOIN near n ON n.file = e.file
+UNION ALL SELECT 'aktör', 'aktör:' || id, 'Aktörsförslag: ' || vehicles || ' fordon + ' || marks || ' kännetecken', 80 + facets FROM allacts
+UNION ALL SELECT 'märke', 'märke:' || signature, 'Återkommande kännetecken: ' || label || ' (' || count || ' observationer)', 60 + count FROM noms
+UNION ALL SELECT 'fordon', 'fordon:' || canonical, 'Återkommande fordon ' || canonical || ' (' || count || ' observationer)', 40 + count FROM ents WHERE count > 1"""
+#: The same over the first half of the batches, as a table of its own.
+_FIRST_HALF = "reports AS (SELECT * FROM main.reports WHERE batch_no <= (SELECT (min(batch_no) + max(batch_no)) / 2.0 FROM main.reports)),\n"
+_SEEN = checking.actors(f"SELECT key FROM ({_ALERTS})", "near", "noms", "ents").replace("WITH RECURSIVE ", "WITH RECURSIVE " + _FIRST_HALF, 1)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -497,15 +454,16 @@ FROM members GROUP BY signature""", "members"),
 FROM (SELECT place, count(*) AS n, count(*) FILTER (WHERE elevated) AS e, len(list_distinct(flatten(list(plates)))) AS k FROM claims GROUP BY place) c FULL JOIN predefined_places p ON p.name = c.place""", "claims"),
         "recurrence_vehicle": sql("SELECT place, plate, count(*) AS n FROM (SELECT place, unnest(plates) AS plate FROM claims) GROUP BY place, plate HAVING count(*) >= 2", "claims"),
         "facet_edges": sql("SELECT a, b, weight FROM tied", "tied"),
-        "actor_components": sql(_ACTORS, "facet", "tied", recursive=_REACH.format(n=1)),
-        "actor_threshold2": sql(_ACTORS, "facet", "tied", recursive=_REACH.format(n=2)),
-        "alerts_all": sql(
-            f"""SELECT 'förhöjd' AS kind, 'förhöjd:' || file AS key, CAST(100 + score AS BIGINT) AS rank FROM elevated
-UNION ALL SELECT 'aktör', '', 80 + facets FROM ({_ACTORS})
-UNION ALL SELECT 'märke', 'märke:' || signature, 60 + count(*) FROM members GROUP BY signature
-UNION ALL SELECT 'fordon', 'fordon:' || canonical, 40 + count FROM ents WHERE count > 1""", "elevated", "facet", "tied", "members", "ents", recursive=_REACH.format(n=1)),
-        "alerts_new": sql(
-            "SELECT 'förhöjd:' || file AS key, CAST(100 + score AS BIGINT) AS rank FROM elevated JOIN reports USING (file) WHERE batch_no = (SELECT max(batch_no) FROM reports)", "elevated"),
+        "actor_components": checking.actors("SELECT root, facets, vehicles, marks, types FROM acts"),
+        "actor_threshold2": checking.actors("SELECT root, facets, vehicles, marks, types FROM acts", least=2),
+        "actor_chains": checking.actors("""SELECT a.root, count(*) AS messages, coalesce(min(nullif(tidpunkt, '')), '') AS first_seen, coalesce(max(nullif(tidpunkt, '')), '') AS last_seen
+FROM allsteps s JOIN acts a ON a.id = s.actor GROUP BY a.root"""),
+        "alerts_all": checking.actors(_ALERTS, "near", "noms", "ents"),
+        "alerts_new": checking.actors(f"SELECT key, rank FROM ({_ALERTS}) WHERE key NOT IN (SELECT key FROM ({_SEEN}))", "near", "noms", "ents"),
+        "vehicle_notes": f"""WITH held AS ({derived.SQL["notes_vehicle"]}), wanted AS ({derived.SQL["notes_vehicle"].replace("WITH ", "WITH " + _FIRST_HALF, 1)})
+SELECT coalesce(h.path, w.path) AS path, CASE WHEN w.path IS NULL THEN 'pruned' WHEN h.text = w.text THEN 'unchanged' ELSE 'written' END AS action FROM held h FULL JOIN wanted w ON w.path = h.path""",
+        "reason_phrases": sql("SELECT e.file, coalesce(phrases, '') AS phrases FROM elevated e LEFT JOIN phrased USING (file)", "elevated", "phrased"),
+        "mark_labels": sql("SELECT signature, label, observers FROM noms", "noms"),
         "watch_status": sql(
             """SELECT 'fordon' AS kind, canonical AS ref, count, last_seen, count - 2 AS fresh FROM ents WHERE count >= 3
 UNION ALL SELECT 'fordon', 'ZZZ00Z', coalesce((SELECT count FROM ents WHERE canonical = 'ZZZ00Z'), 0), coalesce((SELECT last_seen FROM ents WHERE canonical = 'ZZZ00Z'), ''), 0""", "ents"),
@@ -532,14 +490,15 @@ OR len(list_filter(links, lambda x: contains(lower(x.raw), 'skåpbil'))) > 0""",
 f AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT count(*) AS n FROM c GROUP BY g)), t AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT count(*) AS n FROM c GROUP BY h)),
 b AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT count(*) AS n FROM c GROUP BY g, h))
 SELECT CAST(f.v AS DOUBLE) AS pairs_found, CAST(t.v AS DOUBLE) AS pairs_true, CAST(b.v AS DOUBLE) AS pairs_both, round(CAST(b.v AS DOUBLE) / CAST(f.v AS DOUBLE), 6) AS precision, round(CAST(b.v AS DOUBLE) / CAST(t.v AS DOUBLE), 6) AS recall FROM f, t, b""",
-        "plate_corroboration": sql("""SELECT DISTINCT l.file, l.value AS plate, CASE WHEN EXISTS (SELECT 1 FROM found p WHERE p.file = l.file AND p.type = 'plate' AND p.turn BETWEEN 1 AND 3 AND p.value = l.value) THEN 'confirmed'
- WHEN EXISTS (SELECT 1 FROM found p WHERE p.file = l.file AND p.type = 'plate' AND p.turn BETWEEN 1 AND 3) THEN 'conflict' ELSE 'none' END AS state
-FROM found l WHERE l.turn = 0""", "found"),
+        "plate_corroboration": sql("""SELECT l.file, l.value AS plate, CASE WHEN EXISTS (SELECT 1 FROM found p WHERE p.file = l.file AND p.type = 'plate' AND p.turn <= 3 AND p.value = l.value) THEN 'confirmed'
+ WHEN EXISTS (SELECT 1 FROM found p WHERE p.file = l.file AND p.type = 'plate' AND p.turn <= 3) THEN 'conflict' ELSE 'none' END AS state
+FROM shown l""", "found", extra=r"""shown AS (SELECT DISTINCT file, CASE WHEN length(b) = 7 AND regexp_full_match(b, 'S%s') THEN substr(b, 2) ELSE b END AS value FROM
+  (SELECT file, upper(regexp_replace(p, '[\s-]+', '', 'g')) AS b FROM (SELECT file, unnest(photo_plates) AS p FROM reports)) WHERE b <> '')""" % V.PLATE),
         "demo_schedule": r"""WITH t AS (SELECT file, tnr, CAST(substr(tnr, 1, 2) AS INT) * 1440 + CAST(substr(tnr, 3, 2) AS INT) * 60 + CAST(substr(tnr, 5, 2) AS INT) AS m FROM reports
-  WHERE substr(tnr, 1, 2) = '06' AND regexp_full_match(tnr, '\d{6}')),
+  WHERE regexp_full_match(tnr, '\d{6}')),
 o AS (SELECT *, row_number() OVER (ORDER BY m, file) - 1 AS i, (m - min(m) OVER ()) * 60 / 60.0 AS ideal FROM t)
 SELECT file, round(i * 2.0 + max(ideal - i * 2.0) OVER (ORDER BY i), 6) AS at_s FROM o""",
-    }
+    } | {name: text.replace('__ALERTS__', _ALERTS) for name, text in derived.SQL.items()}
 
 
 #: Letters as the wrong encoding shows them, for the checking SQL.

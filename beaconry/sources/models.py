@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import mark_key, plate_read
+from ..functions.text import contains_any, mark_key, plate_read
 from ..session import ship_package
 
 SIGHTING = "struct<fordon:array<struct<typ:string,marke:string,farg:string,skylt:string>>,personer:array<struct<kon:string,alder:string,klader:array<string>,utrustning:array<string>>>,ovrigt:array<string>>"
@@ -104,6 +104,20 @@ def sighting_nominations(answers: DataFrame) -> DataFrame:
     )
 
 
+def recon_behaviours(answers: DataFrame) -> DataFrame:
+    """(hash, key, label, weight) of behaviours that equipment, clothes and remarks show; of several of one kind the strongest, then the first listed."""
+    seen = answers.select("hash", parsed(F.col("answer"), SIGHTING).alias("s")).filter(F.col("s").isNotNull())
+    none = F.array().cast("array<string>")
+    worn = F.flatten(F.transform(F.coalesce("s.personer", F.array().cast("array<struct<kon:string,alder:string,klader:array<string>,utrustning:array<string>>>")), lambda p: F.concat(F.coalesce(p["utrustning"], none), F.coalesce(p["klader"], none))))
+    said = seen.select("hash", F.lower(F.array_join(F.concat(worn, F.coalesce("s.ovrigt", none)), " ")).alias("said"))
+    shown = F.array(*[
+        F.when(F.expr(contains_any("said", words)), F.struct(F.lit(f"beteende:{key}").alias("key"), F.lit(f"hotindikator (foto): {name}").alias("label"), F.lit(weight).alias("weight"), F.lit(-turn).alias("turn")))
+        for turn, (words, key, name, weight) in enumerate(V.PICTURE_BEHAVIOURS)
+    ])
+    rows = said.select("hash", F.inline(F.array_compact(shown)))
+    return rows.groupBy("hash", "key").agg(F.max_by("label", F.struct("weight", "turn")).alias("label"), F.max("weight").alias("weight"))
+
+
 def text_findings(answers: DataFrame) -> DataFrame:
     """(hash, kind, key, label) of extractions: marks once per key, behaviours of the known concepts once each."""
     got = answers.select("hash", parsed(F.col("answer"), EXTRACTION).alias("e")).filter(F.col("e").isNotNull())

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconry.operators import evaluation, feeds
-from beaconry.plans import core, questions
+from beaconry.plans import core, derived, questions
 from beaconry.sources import models, notes, reports_md
 from beaconry.streaming import pipeline, replay
 
@@ -71,17 +71,23 @@ def test_questions(spark):
     ask = questions.parse
     assert ask("Är ABC123 samma fordon?").guard
     assert (ask("visa ABC123").target, ask("visa ABC123").term) == ("fordon", "ABC123")
-    assert ask("återkommande fordon minst 3").least == 3
+    assert ask("återkommande fordon minst 3").least == 3 and ask("fordon sedda mer än en gång").least == 2
     assert (ask("visa drönarobservationer").target, ask("visa drönarobservationer").term) == ("farkost", "drönare")
     assert ask("larm mellan 22 och 5 vid Berga").window == (1320, 300) and ask("larm mellan 22 och 5 vid Berga").place == "berga"
+    assert ask("larm kl. 21:30–23").window == (1290, 1380) and ask("larm mellan husen").window is None
     assert ask("vad har CQ sett").observer == "CQ" and ask("tidslinje larm på natten").shape == "timeline" and ask("sammanfatta läget").shape == "summary"
+    assert ask("rapporter från en granne").observer is None and ask("misstänkt person").target == "larm" and ask("röd keps").target == "kannetecken"
+    assert questions.echo(ask("larm mellan 22 och 5 vid Berga")) == 'mål=larm, form=list, tid=22:00–05:00, plats~"berga"'
+    assert questions.echo(ask("")) == "mål=alla, form=list" and ask("???").term == ""
     rows = [("a", "2018-06-04T23:00:00", "Berga", "AQ", "en bil", None, []), ("b", "2018-06-04T12:00:00", "Berga", "BQ", None, "en bil", None), ("c", "okänt", None, None, None, None, None)]
     df = spark.createDataFrame(rows, "file string, tidpunkt string, plats string, sagesman string, handelse string, symbol string, links array<struct<raw:string,kind:string>>")
     views = {"reports": lambda: df}
-    assert [r.ref for r in questions.answer(questions.Question("list", "reports", window=(1320, 300), place="berga", observer="AQ"), views).collect()] == ["a"]
+    assert [r.ref for r in questions.answer(questions.Question("list", "alla", window=(1320, 300), place="berga", observer="AQ"), views).collect()] == ["a"]
     assert sorted(r.ref for r in questions.answer(questions.Question("list", "alla", term="en bil"), views).collect()) == ["a", "b"]
-    assert questions.answer(ask("Är det samma person?"), views).count() == 0
-    assert questions.cited("kort", "se [[a]] och [[b]] och [[a]]") == "kort [[a]] [[b]]"
+    assert questions.answer(questions.Question("list", "alla", term="e"), views).count() == 0
+    (refused,) = questions.answer(ask("Är det samma person?"), views).collect()
+    assert refused.text == questions.REFUSAL and refused.n == 0
+    assert questions.cited("<think>nej</think> kort", "se [[a]] och [[b]] och [[a]]") == "kort [[a]] [[b]]"
 
 
 def test_answers_of_models_are_nominations(spark):
@@ -194,9 +200,14 @@ def test_feed_has_what_waits_and_what_was_found(spark):
     pending = lambda *x: [(r.path, r.kind, feeds.PINNED - r.time) for r in feeds.pending_items(told, "förslag-märke", 1, *x).collect()]
     assert pending() == pending(decided) == [("review:marks", "förslag-märke", 1)]
     assert pending(told.select("ref", F.lit("rejected").alias("decision"))) == []
-    top = core.q_feed(spark, SMALL).collect()
-    assert len(top) == 60 and [r.path for r in top[:2]] == ["review:actors", "review:marks"] and [feeds.PINNED - r.time for r in top[2:5]] == [4, 5, 6]
-    assert top[2].kind == "namnge-plats"
+    top = derived.feed_top60(spark, SMALL).collect()
+    assert len(top) == 60 and [r.time for r in top] == sorted((r.time for r in top), reverse=True)
+    assert {"förslag-aktör", "förslag-bild", "bildanalys", "textanalys", "namnge-plats"} <= {r.kind for r in top} and top[0].path == "review:actors"
+    running = spark.createDataFrame([("r2",), ("r1",), ("r2",)], "file string")
+    assert [(r.path, feeds.PINNED - r.time) for r in feeds.running_items(running, "bildanalys", 4).orderBy("path").collect()] == [("bildanalys:r1", 4), ("bildanalys:r2", 5)]
+    row = lambda kind, **x: (kind, x.get("tnr"), x.get("plats"), x.get("label"), x.get("count"), x.get("phrases", ""))
+    shown = spark.createDataFrame([row("larm", plats="Berga", phrases="natt"), row("förslag-märke", count=3), row("mottaget", tnr="040905"), row("bevakad", label="A", count=2)], "kind string, tnr string, plats string, label string, count int, phrases string")
+    assert [(r.text, r.severity) for r in feeds.labelled(shown).collect()] == [("⚠ Misstänkt aktivitet — Berga (natt)", "larm"), ("🎒 3 kopplingsförslag att granska →", "review"), ("Meddelande TNR040905 mottaget", "info"), ("🔭 Bevakad: A — +2 nya observationer", "bevakad")]
     seen = spark.createDataFrame([("A.C 1", "1970-01-01T00:01:00")], "canonical string, last_seen string")
     assert [(r.path, r.kind, r.time) for r in feeds.vehicle_items(seen).collect()] == [("A_C_1.md", "fordon", 60)]
     watched = spark.createDataFrame([("fordon", "A", "1970-01-01T00:01:00", 2), ("fordon", "B", "", 0)], "kind string, ref string, last_seen string, fresh int")

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from beaconry.functions import grid, text
-from beaconry.operators import actors, craft, feeds, identifiers, marks, merges, places, suspects, suspicion, vehicles
+from beaconry.operators import actors, craft, decisions, feeds, identifiers, marks, merges, orders, places, suspects, suspicion, vehicles
 
 SCHEMA = """file string, id string, tnr string, tidpunkt string, plats string, lat double, lon double, sagesman string, signal_avsandare_id string, stalle string, handelse string, symbol string,
 links array<struct<raw:string,kind:string>>, photo_plates array<string>, confirmed_behaviours array<struct<key:string,label:string,weight:int>>, batch_no int"""
@@ -124,6 +124,40 @@ def test_text_functions(spark):
     assert (row.mended, row.half, row.link) == ("Höglandet  5", -2, "plate-partial")
 
 
+def test_orders_without_one_task(spark):
+    df = spark.range(500).select(((F.col("id") * 7919) % 503).alias("x"), F.lit(1).alias("n"))
+    got = {r.x: r.nth for r in orders.in_order(df.repartition(7), F.col("x").desc()).collect()}
+    assert got == {x: i for i, x in enumerate(sorted(got, reverse=True), 1)} and len(got) == 500
+    assert orders.in_order(df.limit(0), F.col("x")).count() == 0
+
+
+def test_decisions_are_a_log(spark):
+    log = [("mark", "a", "confirmed", "1", 1), ("mark", "b", "rejected", "1", 2), ("mark", "a", None, "2", 3), ("mark", "c", "confirmed", "1", 4), ("actor", "*", None, "3", 5), ("actor", "x", "confirmed", "2", 6),
+           ("actor", "y", "confirmed", "4", 7), (None, "z", "v", "1", 8), ("area", "59.1,17.2", "Norr", "5", 9), ("area", "59.1,17.2", "Nord", "6", 10), ("mark", "d", "confirmed", "7", 11)]
+    df = spark.createDataFrame(log, decisions.LOG)
+    stands = lambda x: {(r.map, r.key, r.value) for r in decisions.state(x).collect() if r.map != "area"}
+    assert stands(df) == {("mark", "b", "rejected"), ("mark", "c", "confirmed"), ("actor", "y", "confirmed"), ("mark", "d", "confirmed")}
+    # The first area wipes what came before it, the new name of the same area nothing.
+    assert stands(decisions.area_changes(df)) == {("mark", "d", "confirmed")}
+    assert decisions.any_judgement(decisions.state(df)).first().any and not decisions.any_judgement(decisions.state(df.limit(0))).first().any
+    found = spark.createDataFrame([("b",), ("q",)], "signature string")
+    assert {r.signature: r.decision for r in decisions.decided(found, decisions.state(df), "mark", "signature").collect()} == {"b": "rejected", "q": None}
+
+
+def test_places_as_typed(spark):
+    rows = [("Grind", "59.1, 17.2", None), (" ", "59.1,17.2", "20"), ("A", "här", "20"), ("B", "[x](geo:59.5,17.5)", "9"), ("C", 'location: "59.5,17.5"', "10.4"), ("D", "33VXF6665179308", "x"), (None, None, None)]
+    got = [(r.lat, r.lon, r.radius_m, r.problem) for r in decisions.placed(spark.createDataFrame(rows, "name string, at string, radius string")).collect()]
+    assert got[0] == (59.1, 17.2, 100, None) and [g[3] for g in got] == [None, "name", "position", "radius", None, None, "name"] and got[4][2] == 10 and round(got[5][0], 2) == 59.32
+
+
+def test_merged_actors_count_once(spark):
+    held = spark.createDataFrame([("a", "f1", "fordon"), ("a", "m1", "marke:x"), ("b", "f1", "fordon"), ("b", "f2", "fordon"), ("c", "f3", "fordon")], "actor string, facet string, type string")
+    chain = spark.createDataFrame([("a", "r1", "2"), ("b", "r1", "2"), ("b", "r2", "1"), ("c", "r9", "")], "actor string, file string, tidpunkt string")
+    closed = spark.createDataFrame([("b", "a")], "absorbed string, survivor string")
+    got = {r.actor: tuple(r)[1:] for r in actors.folded(held, chain, closed).collect()}
+    assert got == {"a": (3, 2, 1, 2, "1", "2"), "c": (1, 1, 0, 1, "", "")}
+
+
 def test_long_merge_chains_reach_their_end(spark):
     merged = spark.createDataFrame([(f"i{k:03}", f"i{k + 1:03}") for k in range(70)], "absorbed string, survivor string")
     assert {r.survivor for r in merges.survivors(merged).collect()} == {"i070"}
