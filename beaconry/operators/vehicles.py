@@ -4,6 +4,9 @@ A partly read plate has one of few masks, the places of it that were read. Every
 plate is written under each mask that occurs, unread places as dots, so that a partial
 equals the whole plates it fits: one equality, counted before the shuffle. Only a
 partial with exactly one whole plate is merged into it.
+
+The planner does not know that a plate becomes a row per mask and would broadcast
+them as if they were one, so joins with them are told to shuffle.
 """
 
 from __future__ import annotations
@@ -40,13 +43,13 @@ def partial_matches(mentions: DataFrame) -> DataFrame:
     """(partial, n, only): how many whole plates each partial fits, and which if it is one."""
     partials = mentions.filter("partial").select(F.col("plate").alias("partial")).distinct()
     fits = _fitting(mentions).groupBy("partial").agg(F.count(F.lit(1)).alias("n"), F.min("plate").alias("least"))
-    return partials.join(fits, "partial", "left").select("partial", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("least")).alias("only"))
+    return partials.join(fits.hint("merge"), "partial", "left").select("partial", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("least")).alias("only"))
 
 
 def candidates(mentions: DataFrame) -> DataFrame:
     """(partial, plate): the whole plates of each partial that fits several."""
     several = partial_matches(mentions).filter("n > 1").select("partial")
-    return _fitting(mentions).join(several, "partial")
+    return _fitting(mentions).hint("merge").join(several, "partial")
 
 
 def observations(reports: DataFrame) -> DataFrame:

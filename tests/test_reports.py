@@ -30,6 +30,15 @@ def test_partial_plates(spark):
     assert seen["ABC123"] == ("fordon-reg-full", 2, ["AB.123"]) and seen["XYZ99."] == ("fordon-reg-partiell", 1, []) and "AB.123" not in seen
 
 
+def test_plates_under_every_mask_are_not_broadcast(spark):
+    rows = [("ABC123", False), ("ABC124", False), ("XYZ999", False), ("ABC12.", True), ("AB.12.", True), ("......", True), ("XYZ99.", True), ("WWW...", True)]
+    mentions = spark.createDataFrame(rows, "plate string, partial boolean").repartition(2)
+    several, counted = vehicles.candidates(mentions), vehicles.partial_matches(mentions)
+    assert sorted(tuple(r) for r in several.collect()) == [("......", "ABC123"), ("......", "ABC124"), ("......", "XYZ999"), ("AB.12.", "ABC123"), ("AB.12.", "ABC124"), ("ABC12.", "ABC123"), ("ABC12.", "ABC124")]
+    assert {r.partial: (r.n, r.only) for r in counted.collect()} == {"ABC12.": (2, None), "AB.12.": (2, None), "......": (3, None), "XYZ99.": (1, "XYZ999"), "WWW...": (0, None)}
+    assert not any("BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString() for df in (several, counted))
+
+
 def test_marks_open_take_details_and_close(spark):
     df = reports(spark, {"symbol": "svart ryggsäck, märke på sidan. jacka"}, {"symbol": "ryggsäck svart och emblem"}, {"symbol": "utan ryggsäck"}, {"symbol": "kikare"}, {"handelse": "Dekal på bakrutan, otydlig"}, {"symbol": None})
     got = [(r.file, r.signature, r.distinctive) for r in marks.marks(df).orderBy("file").collect()]
