@@ -91,10 +91,13 @@ def path(name: Column) -> Column:
 
 
 def vehicle_notes(observations: DataFrame, entities: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Notes of vehicles: sightings as they were read, observers, partials merged into them or plates they may be (K3)."""
+    """Notes of vehicles: sightings as they were read, observers, partials merged into them or plates they may be (K3).
+
+    Lists of plates and observers are longer than the planner takes them for, so they are shuffled and never broadcast.
+    """
     as_read = F.when(F.col("as_read") != F.col("canonical"), F.concat(F.lit("  — sedd som `"), "as_read", F.lit("`")))
     may_be = candidates.groupBy(F.col("partial").alias("canonical")).agg(F.array_join(F.array_sort(F.collect_set("plate")), ", ").alias("may_be"))
-    rows = lined(observations, seen(as_read), "canonical", "kind").join(entities.select("canonical", "kind", "observers", "resolved"), ["canonical", "kind"]).join(may_be, "canonical", "left")
+    rows = lined(observations, seen(as_read), "canonical", "kind").join(entities.select("canonical", "kind", "observers", "resolved").hint("merge"), ["canonical", "kind"]).join(may_be.hint("merge"), "canonical", "left")
     head = F.array(
         fact("Slag", F.col("kind")), _count(), fact("Tidsspann", F.col("span")), fact("Sagesmän", F.array_join("observers", ", ")), fact("Partiella observationer", F.array_join("resolved", ", ")),
         F.when(F.col("kind") == "fordon-reg-partiell", F.coalesce(fact("Möjliga registreringsnummer", F.col("may_be")), F.lit("_Ingen matchande fullständig regplåt observerad._"))),

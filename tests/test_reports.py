@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import grid, text
 from beaconry.operators import actors, craft, decisions, feeds, identifiers, marks, merges, orders, places, suspects, suspicion, vehicles
+from beaconry.sources import notes
 
 SCHEMA = """file string, id string, tnr string, tidpunkt string, plats string, lat double, lon double, sagesman string, signal_avsandare_id string, stalle string, handelse string, symbol string,
 links array<struct<raw:string,kind:string>>, photo_plates array<string>, confirmed_behaviours array<struct<key:string,label:string,weight:int>>, batch_no int"""
@@ -39,6 +40,19 @@ def test_plates_under_every_mask_are_not_broadcast(spark):
     assert not any("BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString() for df in (several, counted))
 
 
+def test_lists_of_vehicle_notes_are_not_broadcast(spark):
+    seen = [("ABC123", "fordon-reg-full", "AQ", None), ("ABC123", "fordon-reg-full", "BQ", "A.C123"), ("XYZ99.", "fordon-reg-partiell", "AQ", "XYZ99."), ("WWW...", "fordon-reg-partiell", "", "WWW...")]
+    rows = [(c, kind, f"r{i}", "", "", "", who, read) for i, (c, kind, who, read) in enumerate(seen)]
+    observed = spark.createDataFrame(rows, "canonical string, kind string, file string, tnr string, tidpunkt string, plats string, sagesman string, as_read string").repartition(2)
+    mentions = spark.createDataFrame([("XYZ998", False), ("XYZ999", False), ("XYZ99.", True), ("WWW...", True)], "plate string, partial boolean").repartition(2)
+    made = notes.vehicle_notes(observed, vehicles.entities(observed), vehicles.candidates(mentions))
+    told = {r.path: r.text for r in made.collect()}
+    assert set(told) == {"ABC123.md", "XYZ99_.md", "WWW___.md"}
+    assert "**Sagesmän:** AQ, BQ\n**Partiella observationer:** A.C123\n" in told["ABC123.md"] and "**Möjliga registreringsnummer:** XYZ998, XYZ999\n" in told["XYZ99_.md"]
+    assert "_Ingen matchande fullständig regplåt observerad._" in told["WWW___.md"]
+    assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_marks_open_take_details_and_close(spark):
     df = reports(spark, {"symbol": "svart ryggsäck, märke på sidan. jacka"}, {"symbol": "ryggsäck svart och emblem"}, {"symbol": "utan ryggsäck"}, {"symbol": "kikare"}, {"handelse": "Dekal på bakrutan, otydlig"}, {"symbol": None})
     got = [(r.file, r.signature, r.distinctive) for r in marks.marks(df).orderBy("file").collect()]
