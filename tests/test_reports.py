@@ -53,6 +53,17 @@ def test_lists_of_vehicle_notes_are_not_broadcast(spark):
     assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_comparing_vehicle_notes_broadcasts_nothing(spark):
+    def made(*seen):
+        observed = spark.createDataFrame([(c, "fordon-reg-partiell", f"r{i}", "", "", "", "", c) for i, c in enumerate(seen)], "canonical string, kind string, file string, tnr string, tidpunkt string, plats string, sagesman string, as_read string").repartition(2)
+        mentions = spark.createDataFrame([("XYZ998", False), ("XYZ999", False), *[(c, True) for c in seen]], "plate string, partial boolean").repartition(2)
+        return notes.vehicle_notes(observed, vehicles.entities(observed), vehicles.candidates(mentions))
+
+    done = notes.upsert(made("XYZ99.", "WWW..."), made("XYZ99."), "jobb-a")
+    assert sorted((r.path, r.action) for r in done.collect()) == [("WWW___.md", "pruned"), ("XYZ99_.md", "unchanged")]
+    assert "BroadcastExchange" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_marks_open_take_details_and_close(spark):
     df = reports(spark, {"symbol": "svart ryggsäck, märke på sidan. jacka"}, {"symbol": "ryggsäck svart och emblem"}, {"symbol": "utan ryggsäck"}, {"symbol": "kikare"}, {"handelse": "Dekal på bakrutan, otydlig"}, {"symbol": None})
     got = [(r.file, r.signature, r.distinctive) for r in marks.marks(df).orderBy("file").collect()]
