@@ -63,7 +63,7 @@ def observed(seen: DataFrame) -> DataFrame:
     whole = seen.filter(~F.col("partial")).select(F.col("plate").alias("canonical"), F.lit("fordon-reg-full").alias("kind"), *told, F.lit(None).cast("string").alias("as_read"))
     fits = partial_matches(seen).select(F.col("partial").alias("plate"), "only")
     merged = F.col("only").isNotNull()
-    read = seen.filter("partial").join(fits, "plate").select(
+    read = seen.filter("partial").join(fits.hint("merge"), "plate").select(
         F.coalesce("only", "plate").alias("canonical"), F.when(merged, "fordon-reg-full").otherwise("fordon-reg-partiell").alias("kind"), *told, F.col("plate").alias("as_read")
     )
     return whole.unionByName(read)

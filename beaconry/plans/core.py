@@ -305,8 +305,7 @@ def q_corroboration(spark: SparkSession, d: str) -> DataFrame:
     return models.corroboration(photos, identifiers.prose_plates(reports).select("file", "plate"))
 
 
-def _vehicle_notes(reports: DataFrame) -> DataFrame:
-    read = stored(identifiers.plates(reports, *vehicles.TOLD))
+def _vehicle_notes(read: DataFrame) -> DataFrame:
     seen = vehicles.observed(read)
     return notes.vehicle_notes(seen, vehicles.entities(seen), vehicles.candidates(read))
 
@@ -315,8 +314,10 @@ def q_vehicle_notes(spark: SparkSession, d: str) -> DataFrame:
     """What would be written, kept and pruned if the second half of the batches were taken back."""
     reports = reports_of(spark, d)
     middle = F.broadcast(reports.agg(((F.min("batch_no") + F.max("batch_no")) / 2).alias("middle")))
-    before = reports.join(middle).filter("batch_no <= middle").drop("middle")
-    return notes.upsert(_vehicle_notes(reports), _vehicle_notes(before), "jobb-a").select("path", "action")
+    halved = reports.join(middle).withColumn("early", F.col("batch_no") <= F.col("middle"))
+    # Plates are read from the texts once, for both halves.
+    read = stored(identifiers.plates(halved, *vehicles.TOLD, "early"))
+    return notes.upsert(_vehicle_notes(read), _vehicle_notes(read.filter("early")), "jobb-a").select("path", "action")
 
 
 def q_demo_schedule(spark: SparkSession, d: str) -> DataFrame:

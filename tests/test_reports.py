@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import grid, text
 from beaconry.operators import actors, craft, decisions, feeds, identifiers, marks, merges, orders, places, suspects, suspicion, vehicles
+from beaconry.plans import core
 from beaconry.sources import notes
 
 SCHEMA = """file string, id string, tnr string, tidpunkt string, plats string, lat double, lon double, sagesman string, signal_avsandare_id string, stalle string, handelse string, symbol string,
@@ -64,6 +65,19 @@ def test_comparing_vehicle_notes_broadcasts_nothing(spark):
     assert "BroadcastExchange" not in done._jdf.queryExecution().executedPlan().toString()
 
 
+def test_both_halves_of_vehicle_notes_read_the_texts_once_and_broadcast_nothing(spark, tmp_path, monkeypatch):
+    linked = lambda batch, *plates: {"batch_no": batch, "links": [(p, "plate-partial" if "." in p else "plate-full") for p in plates]}
+    rows = reports(spark, linked(1, "ABC123"), linked(1, "XYZ99.", "XYZ999"), linked(2, "KLM555"), linked(3, "XYZ998"), linked(3, "ABC123"), linked(None, "WWW111"), {"batch_no": 4})
+    rows.repartition(2).write.parquet(str(tmp_path / "reports.parquet"))
+    read, plates = [], identifiers.plates
+    monkeypatch.setattr(identifiers, "plates", lambda *given: read.append(given) or plates(*given))
+    done = core.queries()["vehicle_notes"](spark, str(tmp_path))
+    assert sorted((r.path, r.action) for r in done.collect()) == [
+        ("ABC123.md", "written"), ("KLM555.md", "unchanged"), ("WWW111.md", "pruned"), ("XYZ998.md", "pruned"), ("XYZ999.md", "written"), ("XYZ99_.md", "pruned")
+    ]
+    assert len(read) == 1 and "BroadcastExchange" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_marks_open_take_details_and_close(spark):
     df = reports(spark, {"symbol": "svart ryggsäck, märke på sidan. jacka"}, {"symbol": "ryggsäck svart och emblem"}, {"symbol": "utan ryggsäck"}, {"symbol": "kikare"}, {"handelse": "Dekal på bakrutan, otydlig"}, {"symbol": None})
     got = [(r.file, r.signature, r.distinctive) for r in marks.marks(df).orderBy("file").collect()]
